@@ -26,7 +26,10 @@ def to_column(expr: Column | str) -> Column:
 
 def json_path(*names: str) -> str:
     """JSON path of nested field names; a name is taken literally, dots included."""
-    return "$" + "".join("['" + n.replace("\\", "\\\\").replace("'", "\\'") + "']" for n in names)
+    for name in names:
+        if "'" in name and '"' in name:
+            raise ValueError(f"a JSON path cannot hold a name with both kinds of quotes: {name!r}")
+    return "$" + "".join(f'["{n}"]' if "'" in n else f"['{n}']" for n in names)
 
 
 def path(*names: str) -> Column:

@@ -10,8 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-@pytest.fixture(scope="session")
-def spark():
+def _session() -> SparkSession:
     session = (
         SparkSession.builder.master("local[8]")
         .appName("keyedflow-tests")
@@ -19,13 +18,20 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.streaming.stateStore.providerClass",
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    return session
+
+
+def pytest_configure(config):
+    # Columns such as path("id") in test modules need a session when they are imported.
+    _session()
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return _session()
 
 
 @pytest.fixture
