@@ -46,9 +46,21 @@ def _is_nested(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StructType, T.ArrayType, T.MapType))
 
 
-def _variant_is_nested(c: Column) -> Column:
+def _variant_text(c: Column) -> Column:
+    """Text of a variant: empty for objects and arrays, NULL for null and missing.
+
+    VARIANT keeps 10.50 as the decimal 10.5 and 10.0 as the decimal 10, but with another
+    type than the integer 10; as doubles they read 10.5 and 10.0 again. Integers too long
+    for a BIGINT are decimals as well, of 19 digits and more, and keep their digits.
+    """
     kind = F.schema_of_variant(c)
-    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    long_integer = kind.rlike(r"^DECIMAL\((19|2\d|3\d),0\)$")
+    fraction = (kind == "DOUBLE") | (kind.startswith("DECIMAL") & ~long_integer)
+    return (
+        F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(""))
+        .when(fraction, c.cast("double").cast("string"))
+        .otherwise(c.cast("string"))
+    )
 
 
 def _or_raise(c: Column, message: str) -> Column:
@@ -63,7 +75,7 @@ def as_text(df: DataFrame, expr: Column | str, strict: bool = True) -> Column:
     """
     c, field = to_column(expr), resolved(df, expr)
     if isinstance(field.dataType, T.VariantType):
-        text = F.when(_variant_is_nested(c), F.lit("")).otherwise(c.cast("string"))
+        text = _variant_text(c)
     elif _is_nested(field.dataType):
         text = F.when(c.isNotNull(), F.lit(""))
     else:
@@ -123,11 +135,7 @@ def lenient_text(df: DataFrame, expr: Column | str) -> Column:
     """Text that never raises: missing, objects and arrays give ``""``; a variant null gives ``"null"``."""
     c, dtype = to_column(expr), resolved(df, expr).dataType
     if isinstance(dtype, T.VariantType):
-        return (
-            F.when(F.is_variant_null(c), F.lit("null"))
-            .when(_variant_is_nested(c), F.lit(""))
-            .otherwise(F.coalesce(c.cast("string"), F.lit("")))
-        )
+        return F.when(F.is_variant_null(c), F.lit("null")).otherwise(F.coalesce(_variant_text(c), F.lit("")))
     if _is_nested(dtype):
         return F.lit("")
     return F.coalesce(c.cast("string"), F.lit(""))

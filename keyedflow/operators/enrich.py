@@ -38,6 +38,9 @@ def _text_bytes(first: DataFrame, params: list[str], targets: list[str]) -> int:
 def _attach(records: DataFrame, first: DataFrame, params: list[str], small: bool, rows_per_task: int) -> DataFrame:
     if small:
         return records.join(F.broadcast(first), params, "left")
+    if records.isStreaming:
+        # Rows cannot be counted ahead of a stream; its micro-batches are bounded instead.
+        return records.join(first, params, "left")
     # Records of a hot lookup key are spread over splits; its single lookup row is copied to each.
     group = F.xxhash64(*params)
     splits = hot_groups(records, group, rows_per_task).select(

@@ -31,13 +31,12 @@ def _bucket(ms: Column, bucket_ms: int) -> Column:
     return ms - F.pmod(ms, F.lit(bucket_ms))
 
 
-def _interval_side(df: DataFrame, select_key: Column | str, strict: bool, buckets: Column) -> DataFrame:
+def _interval_side(df: DataFrame, select_key: Column | str, strict: bool) -> DataFrame:
     return df.select(
         as_text(df, select_key, strict).alias("key"),
         record().alias("record"),
         F.unix_millis("ts").alias("ms"),
         F.xxhash64("partition", "offset").alias("_spread"),
-        buckets.alias("_bucket"),
     )
 
 
@@ -53,17 +52,37 @@ def _with_split(side: DataFrame, splits: DataFrame, own: str, other: str) -> Dat
     )
 
 
-def _splits(left: DataFrame, right: DataFrame, rows_per_task: int) -> DataFrame:
+def _tallied(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
+    """The given columns of both sides, with a one under the side a row is from."""
+    return left.select(*columns, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+        right.select(*columns, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    )
+
+
+def _splits(
+    left: DataFrame, right: DataFrame, left_buckets: Column, right_buckets: Column, rows_per_task: int
+) -> DataFrame:
     """How many ways each side of each hot ``(key, bucket)`` is split: ``(_hash, _left, _right)``.
 
+    Only a hot key can have a hot bucket, so keys are counted first, which aggregates
+    well before the shuffle, and buckets only for rows of hot keys; Spark drops that part
+    at run time when there are none.
+
     When both sides are hot the group becomes a grid of about as many cells, so each side
     is cut into the square root of its own number of splits.
     """
-    rows = left.select("key", "_bucket", F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
-        right.select("key", "_bucket", F.lit(0).alias("_l"), F.lit(1).alias("_r"))
-    )
+    key_hash = F.xxhash64("key")
+    hot_keys = hot_groups(_tallied(left, right, "key"), key_hash, rows_per_task).select("_hash")
+
+    def of_hot_keys(side: DataFrame, buckets: Column) -> DataFrame:
+        keyed = side.select("key", "ms", key_hash.alias("_hash"))
+        return keyed.join(F.broadcast(hot_keys), "_hash").select("key", buckets.alias("_bucket"))
+
     hot = hot_groups(
-        rows, F.xxhash64("key", "_bucket"), rows_per_task, {"_left": F.sum("_l"), "_right": F.sum("_r")}
+        _tallied(of_hot_keys(left, left_buckets), of_hot_keys(right, right_buckets), "key", "_bucket"),
+        F.xxhash64("key", "_bucket"),
+        rows_per_task,
+        {"_left": F.sum("_l"), "_right": F.sum("_r")},
     )
     counts = [F.col(c) for c in ("_left", "_right")]
     grid = all_of([c > rows_per_task for c in counts])
@@ -99,15 +118,17 @@ def interval_join(
     """
     rules.join_sides(left_name, right_name, select_key, join_type)
     window_ms, _ = rules.join_window(window), rules.join_grace(grace)
-    bucket_ms, ms = 2 * window_ms, F.unix_millis("ts")
-    reach = F.sequence(
-        _bucket(ms - window_ms, bucket_ms), _bucket(ms + window_ms, bucket_ms), F.lit(bucket_ms).cast("bigint")
+    bucket_ms, ms = 2 * window_ms, F.col("ms")
+    at = _bucket(ms, bucket_ms)
+    reach = F.explode(
+        F.sequence(
+            _bucket(ms - window_ms, bucket_ms), _bucket(ms + window_ms, bucket_ms), F.lit(bucket_ms).cast("bigint")
+        )
     )
-    lefts = _interval_side(left, select_key, strict, _bucket(ms, bucket_ms))
-    rights = _interval_side(right, select_key, strict, F.explode(reach))
-    splits = _splits(lefts, rights, rows_per_task)
-    l = _with_split(lefts, splits, own="_left", other="_right").alias("l")
-    r = _with_split(rights, splits, own="_right", other="_left").alias("r")
+    lefts, rights = (_interval_side(df, select_key, strict) for df in (left, right))
+    splits = _splits(lefts, rights, at, reach, rows_per_task)
+    l = _with_split(lefts.withColumn("_bucket", at), splits, own="_left", other="_right").alias("l")
+    r = _with_split(rights.withColumn("_bucket", reach), splits, own="_right", other="_left").alias("r")
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "_bucket", "_left_no", "_right_no")]
     near = F.abs(F.col("l.ms") - F.col("r.ms")) <= window_ms
     return l.join(r, all_of([*same, near])).select(

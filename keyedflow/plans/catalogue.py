@@ -19,7 +19,7 @@ from keyedflow.operators.transforms import FROM_KEY, filter_, key_partition, map
 from keyedflow.plans import jobs, tables
 from keyedflow.plans.runs import read_stream, run_to_end, work_folder
 from keyedflow.sinks.cache import cache_list, cache_set
-from keyedflow.sinks.topics import encode, topic_files_stream, write_topic_files
+from keyedflow.sinks.topics import encode, land, topic_files_stream, write_topic_files
 from keyedflow.sources.envelope import decode
 from keyedflow.sources.topics import read_topic_files
 from keyedflow.streaming.aggregates import window_aggregate_stream
@@ -123,7 +123,7 @@ def sink_topic_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cache_set_last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.events(spark, sf_dir)
+    e = mapping(tables.events(spark, sf_dir), [("event_type", "value.event_type"), ("value", "value.value")])
     cached = cache_set(e, template(e, "user:@{key}"))
     return cached.select("key", "value.event_type", "value.value")
 
@@ -244,7 +244,8 @@ def interval_join_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def interval_join_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = tables.orders(spark, sf_dir)
+    fields = [("customerId", "value.customerId"), ("orderId", "value.orderId")]
+    o = mapping(tables.orders(spark, sf_dir), fields)
     pairs = interval_join(o, o, "a", "b", "value.customerId", TEN_MINUTES_MS)
     return pairs.select(
         "key",
@@ -279,9 +280,20 @@ def flat_customer_orders(df: DataFrame) -> DataFrame:
     )
 
 
+def named_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers cut to what the joins below show: a join holds whole values, so Spark cannot prune them."""
+    fields = [("customerId", "value.customerId"), ("name", "value.name")]
+    return mapping(tables.customers(spark, sf_dir), fields)
+
+
+def priced_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [("customerId", "value.customerId"), ("amount", "value.amount")]
+    return mapping(tables.orders(spark, sf_dir), fields)
+
+
 @query
 def table_join_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers, orders = tables.customers(spark, sf_dir), tables.orders(spark, sf_dir)
+    customers, orders = named_customers(spark, sf_dir), priced_orders(spark, sf_dir)
     return flat_customer_orders(
         table_join_changelog(customers, orders, "customer", "order", "value.customerId")
     )
@@ -308,7 +320,7 @@ def table_join_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def table_join_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers, orders = tables.customers(spark, sf_dir), tables.orders(spark, sf_dir)
+    customers, orders = named_customers(spark, sf_dir), priced_orders(spark, sf_dir)
     return flat_customer_orders(
         table_join_latest(customers, orders, "customer", "order", "value.customerId")
     )
@@ -316,7 +328,8 @@ def table_join_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = latest_by_key(rekey(tables.orders(spark, sf_dir), "value.customerId"))
+    orders = rekey(tables.orders(spark, sf_dir), "value.customerId")
+    latest = latest_by_key(mapping(orders, [("orderId", "value.orderId"), ("amount", "value.amount")]))
     return latest.select("key", "value.orderId", "value.amount", "offset", ts_ms())
 
 
@@ -466,6 +479,17 @@ def late_drop_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Composed
 
 
+@query
+def join_into_cache_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Join results, landed as a topic, appended to one list per user."""
+    e = tables.events(spark, sf_dir)
+    pairs = interval_join(of_type(e, "click"), of_type(e, "purchase"), "left", "right", "key", TEN_MINUTES_MS)
+    folder = f"{work_folder(spark)}/topic"
+    land(mapping(pairs, [("at", F.unix_millis("ts"))]), folder, partitions=8)
+    cached = cache_list(read_topic_files(spark, folder, "at BIGINT"), "key")
+    return cached.select("key", "position", F.col("value.at").alias("ts_ms"))
+
+
 @query
 def updates_into_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A changelog feeding an aggregate counts every update again."""
@@ -552,6 +576,24 @@ def stream_table_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_customer_orders(spark.read.parquet(f"{folder}/table"))
 
 
+@query
+def stream_enrich_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stateless operators on streams: filter, merge, rekey, mapping and enrich."""
+    folder, e = work_folder(spark), stream_events(spark, sf_dir)
+    merged = merge(filter_(e, "value.event_type = 'click'"), filter_(e, "value.event_type = 'purchase'"))
+    keyed = rekey(merged, "value.event_type")
+    fields = [("user", "cast(get_json_object(value.props, '$.k') as bigint)"), ("kind", F.lit("x")), ("at", "offset")]
+    enriched = enrich_lookup(
+        mapping(keyed, fields),
+        tables.table(spark, sf_dir, "nation"),
+        on=[("value.user", "n_nationkey")],
+        fields=[("n_name", "kind")],
+    )
+    run_to_end(topic_files_stream(enriched, f"{folder}/topic", f"{folder}/checkpoint"))
+    landed = read_topic_files(spark, f"{folder}/topic", "user BIGINT, kind STRING, at BIGINT")
+    return landed.select("key", F.col("value.user").alias("k"), "value.kind", "value.at")
+
+
 @query
 def stream_cache_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, e = work_folder(spark), stream_events(spark, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 DAY, HOUR = 86_400_000, 3_600_000
 # Times are cut to whole ms; epoch_ms would round them.
+# Times are cut to whole ms; epoch_ms would round them.
 MS = "(epoch_us(ts) // 1000)"
 
 
@@ -197,6 +198,9 @@ ORACLE: dict[str, str] = {
         SELECT {USER} AS key, event_type, value, arrival AS "offset", {MS} AS ts_ms FROM {SHUFFLED}""",
     "late_drop_aggregate": totals(SHUFFLED, USER, HOUR),
     "late_drop_updates": updates(SHUFFLED, USER, HOUR, "arrival"),
+    "join_into_cache_list": f"""
+        SELECT key, row_number() OVER (PARTITION BY key ORDER BY ts_ms) - 1 AS position, ts_ms
+        FROM ({CLICK_PURCHASE})""",
     "updates_into_aggregate": f"""
         SELECT key, count(*) AS n, round(sum(right_value), 2) AS total, ts_ms - ts_ms % {DAY} AS window_start,
                ts_ms - ts_ms % {DAY} + {DAY} AS window_end, max(ts_ms) AS ts_ms
@@ -220,6 +224,10 @@ ORACLE: dict[str, str] = {
     "stream_aggregate": totals("events", USER, DAY),
     "stream_interval_join": CLICK_PURCHASE,
     "stream_table_join": CUSTOMER_ORDERS,
+    "stream_enrich_merge": f"""
+        SELECT event_type AS key, {K} AS k, n_name AS kind, event_id AS at
+        FROM events LEFT JOIN nation ON n_nationkey = {K}
+        WHERE event_type IN ('click', 'purchase')""",
     "stream_cache_set": LAST_EVENT,
     "stream_cache_list": EVENT_LISTS,
     "stream_fan_out": """

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
+from keyedflow.sources.topics import bounded_stream
+
 
 def work_folder(spark: SparkSession) -> str:
     """New folder below the shared one named by ``spark.checkpoint.dir``.
@@ -32,4 +34,4 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A benchmark table as a stream of its files."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     # A glob, since a file stream takes folders or patterns but not one plain file.
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf_dir}/{table}.parque[t]")
+    return bounded_stream(spark).schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from keyedflow import rules
 from keyedflow.sources.envelope import decode
@@ -12,6 +13,18 @@ from keyedflow.sources.envelope import decode
 LANDED_SCHEMA = "key STRING, value STRING, timestamp TIMESTAMP, partition INT, offset BIGINT"
 
 
+# A micro-batch is bounded, and with it the rows one key can bring into a stateful task.
+MAX_OFFSETS_PER_TRIGGER = 5_000_000
+MAX_BYTES_PER_TRIGGER = 4 * 1024**3
+
+
+def bounded_stream(spark: SparkSession, max_files_per_trigger: int | None = None) -> DataStreamReader:
+    """Reader of a file stream, its micro-batches bounded by bytes unless a number of files is given."""
+    if max_files_per_trigger is not None:
+        return spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
+    return spark.readStream.option("maxBytesPerTrigger", MAX_BYTES_PER_TRIGGER)
+
+
 def kafka_options(topic: str, servers: str, streaming: bool, max_offsets_per_trigger: int) -> dict[str, str]:
     rules.required("topic", topic)
     rules.required("servers", servers)
@@ -22,7 +35,6 @@ def kafka_options(topic: str, servers: str, streaming: bool, max_offsets_per_tri
         "failOnDataLoss": "true",
     }
     if streaming:
-        # Bounds a micro-batch, and with it the rows one key can bring into a stateful task.
         options["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
     return options
 
@@ -33,7 +45,7 @@ def read_topic(
     servers: str,
     schema: T.StructType | str | None = None,
     streaming: bool = True,
-    max_offsets_per_trigger: int = 5_000_000,
+    max_offsets_per_trigger: int = MAX_OFFSETS_PER_TRIGGER,
     **options: str,
 ) -> DataFrame:
     """Envelope stream (or batch) of a Kafka topic; needs Spark's Kafka connector package."""
@@ -48,14 +60,11 @@ def read_topic_files(
     schema: T.StructType | str | None = None,
     streaming: bool = False,
     file_format: str = "parquet",
-    max_files_per_trigger: int = 1000,
+    max_files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Envelope of topic rows landed as files with the columns of ``LANDED_SCHEMA``."""
     rules.required("folder", folder)
-    if streaming:
-        reader = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
-    else:
-        reader = spark.read
+    reader = bounded_stream(spark, max_files_per_trigger) if streaming else spark.read
     return decode(reader.format(file_format).schema(LANDED_SCHEMA).load(folder), schema)
 
 

@@ -82,42 +82,43 @@ def _pair_arrivals(order: list[str]):
     it without this package installed.
     """
 
-    def as_state(row: pd.Series) -> tuple:
-        return (*[None if pd.isna(row[c]) else row[c] for c in _RECORD[:2]], int(row["ms"]))
+    sort_keys, fields = order[::-1], [*_RECORD, "side"]
 
-    def pair(
-        key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        arrivals = pd.concat(list(frames), ignore_index=True).sort_values(order, ignore_index=True)
+    def pair(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = list(frames)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        arrived = {c: rows[c].to_numpy() for c in rows.columns}
+        in_order = np.lexsort([arrived[c] for c in sort_keys])
+        arrived = {c: values[in_order] for c, values in arrived.items()}
+
+        # The latest records from earlier micro-batches go first, as if they arrived again.
         held = state.get if state.exists else (None,) * 6
-        known = [
-            dict(zip([*_RECORD, "side"], [*held[3 * side : 3 * side + 3], side]))
-            for side in (0, 1)
-            if held[3 * side + 2] is not None
-        ]
-        rows = pd.concat([pd.DataFrame(known), arrivals], ignore_index=True) if known else arrivals
-        at, side = np.arange(len(rows)), rows["side"].to_numpy()
-        latest = [np.maximum.accumulate(np.where(side == s, at, -1)) for s in (0, 1)]
-        lasts = [as_state(rows.iloc[pos[-1]]) if pos[-1] >= 0 else (None,) * 3 for pos in latest]
-        state.update((*lasts[0], *lasts[1]))
-        emit = (latest[0] >= 0) & (latest[1] >= 0) & (at >= len(known))
-        if not emit.any():
-            return
-        new = rows[emit]
-        out = {
-            "key": key[0],
-            "partition": new["partition"].astype("int32").to_numpy(),
-            "offset": (new["offset"] * 2 + new["side"]).astype("int64").to_numpy(),
+        known = [(*held[3 * s : 3 * s + 3], s) for s in (0, 1) if held[3 * s + 2] is not None]
+        both = {
+            c: np.concatenate([np.array([k[i] for k in known], dtype=arrived[c].dtype), arrived[c]])
+            for i, c in enumerate(fields)
         }
-        for prefix, pos in zip("lr", latest):
-            picked = rows.iloc[pos[emit]]
-            out |= {
-                f"{prefix}_key": picked["record_key"].to_numpy(),
-                f"{prefix}_value": picked["record_value"].to_numpy(),
-                f"{prefix}_ms": picked["ms"].astype("int64").to_numpy(),
+        at = np.arange(len(both["side"]))
+        latest = [np.maximum.accumulate(np.where(both["side"] == s, at, -1)) for s in (0, 1)]
+        state.update(
+            tuple(
+                None if pos[-1] < 0 else int(both[c][pos[-1]]) if c == "ms" else both[c][pos[-1]]
+                for pos in latest
+                for c in _RECORD
+            )
+        )
+        emit = np.flatnonzero((latest[0] >= 0) & (latest[1] >= 0) & (at >= len(known)))
+        if not len(emit):
+            return
+        new = emit - len(known)
+        yield pd.DataFrame(
+            {
+                "key": key[0],
+                "partition": arrived["partition"][new],
+                "offset": arrived["offset"][new] * 2 + arrived["side"][new],
+                **{f"{name}_{c.removeprefix('record_')}": both[c][pos[emit]] for name, pos in zip("lr", latest) for c in _RECORD},
             }
-        columns = ["key", "partition", "offset", "l_key", "l_value", "l_ms", "r_key", "r_value", "r_ms"]
-        yield pd.DataFrame(out)[columns]
+        )
 
     return pair
 

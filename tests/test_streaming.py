@@ -252,7 +252,8 @@ def test_state_of_an_aggregate(spark, folder):
 
 
 def test_state_of_joins(spark, folder):
-    left, right = topic(spark, folder, "l", [("a", {"id": "K"}, 0)]), topic(spark, folder, "r", [("b", {"id": "K"}, 1)])
+    left = topic(spark, folder, "l", [("a", {"id": "K"}, 1_000_000)])
+    right = topic(spark, folder, "r", [("b", {"id": "K"}, 1_000_001)])
     run_to_end(
         topic_files_stream(
             table_join_stream(left.stream(), right.stream(), "left", "right", ID), f"{folder}/o1", f"{folder}/c1"
@@ -261,7 +262,7 @@ def test_state_of_joins(spark, folder):
     entry = dump_state(spark, f"{folder}/c1").first()
     assert json.loads(entry.key) == {"key": "K"}
     state = json.loads(entry.value)["groupState"]
-    assert (state["l_key"], state["r_key"], state["r_ms"]) == ("a", "b", 1)
+    assert (state["l_key"], state["r_key"], state["r_ms"]) == ("a", "b", 1_000_001)
     pairs = interval_join_stream(left.stream(), right.stream(), "left", "right", ID, 5_000, 30_000)
     run_to_end(topic_files_stream(pairs, f"{folder}/o2", f"{folder}/c2"))
     assert {r.stateStoreName.split("-")[0] for r in list_state(spark, f"{folder}/c2").collect()} == {"left", "right"}
