@@ -14,6 +14,10 @@ from keyedflow.operators.running import running, with_hot_offset_chunk, with_hot
 from keyedflow.operators.skew import ROWS_PER_TASK, hot_groups
 
 ARRIVAL = ("partition", "offset")
+# Length of a time bucket in join windows. A right record is copied to a second bucket when
+# it is within a window of a border, so of eight windows one record in four is; longer buckets
+# copy less but compare more records that are too far apart.
+BUCKET_WINDOWS = 8
 # Copies of the small side stay below this many; each split of the large side grows instead.
 MAX_SPLITS = 4096
 
@@ -111,14 +115,15 @@ def interval_join(
     Gives ``key, value{left_name{key, value}, right_name{key, value}}, ts`` with the later
     timestamp. A table has no late records, so ``grace`` is only checked.
 
-    Time is cut into buckets of two windows, a right record goes into the one or two
-    buckets it can match, and the equi-join runs on key and bucket, so a key with a long
-    history is spread over many tasks. A single bucket that is still too large on a side is
-    split, with the other side's rows copied to each split.
+    Time is cut into buckets, a right record goes into the one or two buckets it can match,
+    and the equi-join runs on key and bucket, so a key with a long history is spread over
+    many tasks. The right side is the one that is copied: put the smaller stream there. A
+    single bucket that is still too large on a side is split, with the other side's rows
+    copied to each split.
     """
     rules.join_sides(left_name, right_name, select_key, join_type)
     window_ms, _ = rules.join_window(window), rules.join_grace(grace)
-    bucket_ms, ms = 2 * window_ms, F.col("ms")
+    bucket_ms, ms = BUCKET_WINDOWS * window_ms, F.col("ms")
     at = _bucket(ms, bucket_ms)
     reach = F.explode(
         F.sequence(

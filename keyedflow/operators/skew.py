@@ -20,8 +20,9 @@ def hot_groups(
     df: DataFrame, group: Column, rows_per_task: int, measures: dict[str, Column] | None = None
 ) -> DataFrame:
     """Hot groups as ``(_hash, _rows, measures...)``; ``group`` is a hash column over ``df``."""
+    # Counted apart: a sum over the groups below would shuffle them a second time.
+    total = df.agg(F.count(F.lit(1))).scalar()
     counted = df.groupBy(group.alias("_hash")).agg(
         F.count(F.lit(1)).alias("_rows"), *[m.alias(name) for name, m in (measures or {}).items()]
     )
-    total = counted.agg(F.sum("_rows")).scalar()
     return counted.where((F.col("_rows") > rows_per_task) & (F.col("_rows") * MAX_HOT > total))
