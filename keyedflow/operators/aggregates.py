@@ -58,6 +58,7 @@ def grouped_inputs(
     Records with a null key or a null value take no part.
     """
     rules.aggregations(aggregations)
+    rules.ordered(df, carried)
     if group_mode not in GROUP_MODES:
         raise ValueError(f"group_mode must be one of {GROUP_MODES}, got {group_mode!r}")
     if group_mode == "GROUP_BY":
@@ -111,9 +112,12 @@ def drop_late(
 
     A record stays iff ``window end > stream time - grace``, where stream time is the
     largest timestamp among the records of the same ``by`` partition that arrived so far,
-    itself included. Exact per record, in arrival order ``(partition, offset)``.
+    itself included. Exact per record, in arrival order ``(partition, offset)``. Another
+    ``by`` column makes sense only when the records of one group come from one partition,
+    as arrival between partitions is not recorded.
     """
     size_ms, grace_ms = rules.window_size(size, "TUMBLING"), rules.window_grace(grace)
+    rules.ordered(df, [by, "partition", "offset"])
     timed = with_offset_chunk(df.withColumn("_stream_time", F.unix_millis("ts")), rows_per_chunk)
     seen = running(timed, [by], ["partition", "offset"], {"_stream_time": "max"})
     end = _window_start(size_ms) + size_ms

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from keyedflow import rules
 from keyedflow.functions.exprs import as_text
-from keyedflow.operators.skew import ROWS_PER_TASK, hot_groups
+from keyedflow.operators.skew import ROWS_PER_TASK, hot_groups, spread
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Allowance per row on top of the text itself when a lookup is held as a hash table.
@@ -51,11 +51,11 @@ def _attach(records: DataFrame, first: DataFrame, params: list[str], small: bool
         joined = df.withColumn("_hash", group).join(F.broadcast(splits), "_hash", "left").drop("_hash")
         return joined.withColumn("_splits", F.coalesce("_splits", F.lit(1).cast("bigint")))
 
-    spread = split_counts(records).withColumn("_split", F.pmod(F.xxhash64("partition", "offset"), "_splits"))
+    spread_out = split_counts(records).withColumn("_split", F.pmod(spread(records), "_splits"))
     copies = split_counts(first).withColumn(
         "_split", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_splits") - 1))
     )
-    return spread.drop("_splits").join(copies.drop("_splits"), [*params, "_split"], "left").drop("_split")
+    return spread_out.drop("_splits").join(copies.drop("_splits"), [*params, "_split"], "left").drop("_split")
 
 
 def _with_fields(df: DataFrame, found: Column, targets: list[str]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keyedflow import rules
 from keyedflow.functions.exprs import all_of, as_text
 from keyedflow.operators.running import running, with_hot_offset_chunk, with_hot_time_chunk
-from keyedflow.operators.skew import ROWS_PER_TASK, hot_groups
+from keyedflow.operators.skew import ROWS_PER_TASK, hot_groups, spread
 
 ARRIVAL = ("partition", "offset")
 # Length of a time bucket in join windows. A right record is copied to a second bucket when
@@ -40,7 +40,7 @@ def _interval_side(df: DataFrame, select_key: Column | str, strict: bool) -> Dat
         as_text(df, select_key, strict).alias("key"),
         record().alias("record"),
         F.unix_millis("ts").alias("ms"),
-        F.xxhash64("partition", "offset").alias("_spread"),
+        spread(df).alias("_spread"),
     )
 
 
@@ -150,12 +150,14 @@ def latest_by_key(df: DataFrame, key: str = "key", order: Sequence[str] = ARRIVA
     per task.
     """
     rules.required("order", list(order))
+    rules.ordered(df, order)
     others = [c for c in df.columns if c != key]
     last = F.max_by(F.struct(*others), F.struct(*order)).alias("_last")
     return df.groupBy(key).agg(last).select(*[key if c == key else F.col(f"_last.{c}") for c in df.columns])
 
 
 def _table_side(df: DataFrame, select_key: Column | str, strict: bool) -> DataFrame:
+    rules.ordered(df, ARRIVAL)
     return df.select(
         as_text(df, select_key, strict).alias("key"), record().alias("record"), "ts", "partition", "offset"
     )

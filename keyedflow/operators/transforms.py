@@ -47,9 +47,18 @@ def rekey(df: DataFrame, select_key: Column | str, strict: bool = True) -> DataF
     return df.withColumn("key", as_text(df, select_key, strict))
 
 
-def merge(*inputs: DataFrame) -> DataFrame:
-    """Union of all inputs with duplicates kept and no order between them."""
+def merge(*inputs: DataFrame, separate: bool = False) -> DataFrame:
+    """Union of all inputs with duplicates kept and no order between them.
+
+    Branches of one source keep their common arrival order. Different topics number their
+    partitions alike; ``separate=True`` renumbers them, so that ``(partition, offset)``
+    stays unique for operators that depend on it.
+    """
     rules.required("inputs", inputs)
+    if separate:
+        inputs = tuple(
+            df.withColumn("partition", F.col("partition") * len(inputs) + i) for i, df in enumerate(inputs)
+        )
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), inputs)
 
 

@@ -77,3 +77,10 @@ def aggregations(aggs: Sequence) -> None:
     aliases = [a.alias for a in aggs]
     if len(set(aliases)) != len(aliases):
         raise ValueError(f"aggregation aliases must be unique, got {aliases}")
+
+
+def ordered(df, order: Sequence[str]) -> None:
+    """Operators that depend on arrival need the columns that tell it."""
+    missing = [c for c in order if c not in df.columns]
+    if missing:
+        raise ValueError(f"arrival order needs the columns {missing}; write join results with land() to get them")

@@ -21,22 +21,26 @@ from keyedflow.operators.skew import ROWS_PER_TASK
 MODES = ("SET", "LIST_APPEND")
 
 
-def cache_entries(df: DataFrame, key_expr: Column | str, strict: bool = True) -> DataFrame:
+def cache_entries(
+    df: DataFrame, key_expr: Column | str, strict: bool = True, carried: Sequence[str] = ()
+) -> DataFrame:
     """Records under their cache key; a null value cannot be cached and raises when strict."""
     rules.required("key_expr", key_expr)
+    rules.ordered(df, ARRIVAL)
     value = F.col("value")
     if strict:
         value = F.when(value.isNotNull(), value).otherwise(
             F.raise_error(F.lit("a null value cannot be cached")).cast(df.schema["value"].dataType)
         )
-    return df.select(as_text(df, key_expr, strict).alias("key"), value.alias("value"), "partition", "offset")
+    return df.select(as_text(df, key_expr, strict).alias("key"), value.alias("value"), *ARRIVAL, *carried)
 
 
 def cache_set(
     df: DataFrame, key_expr: Column | str, strict: bool = True, order: Sequence[str] = ARRIVAL
 ) -> DataFrame:
     """Last value written under each rendered key: ``key, value``."""
-    return latest_by_key(cache_entries(df, key_expr, strict), order=order).select("key", "value")
+    entries = cache_entries(df, key_expr, strict, [c for c in order if c not in ARRIVAL])
+    return latest_by_key(entries, order=order).select("key", "value")
 
 
 def cache_list(

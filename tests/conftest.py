@@ -15,6 +15,7 @@ def _session() -> SparkSession:
         SparkSession.builder.master("local[8]")
         .appName("keyedflow-tests")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.default.parallelism", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")

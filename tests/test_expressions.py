@@ -146,6 +146,26 @@ def test_merge(spark):
     assert sorted(v["x"] for _, v, _ in records(merge(a, b, a))) == [1, 1, 2]
 
 
+def test_merge_of_topics_can_keep_arrival_unique(spark):
+    a, b = one(spark, {"x": 1}), one(spark, {"x": 2})
+    merged = merge(a, b, a, separate=True)
+    assert sorted((r.partition, r.offset) for r in merged.collect()) == [(0, 0), (1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize(
+    "json,text",
+    [("10.0", "10.0"), ("10.50", "10.5"), ("1e10", "1.0E10"), ("5", "5"), ("-7", "-7"), ("0.00001", "1.0E-5"), ("12345678901234567890", "12345678901234567890")],
+)
+def test_text_of_json_numbers(spark, json, text):
+    e = decode(raw(spark, [("k", {}, 0)]).withColumn("value", F.lit(f'{{"n": {json}}}')))
+    assert eval1(e, as_text(e, path("n"))) == eval1(e, lenient_text(e, path("n"))) == text
+
+
+def test_path_with_both_quotes_is_refused():
+    with pytest.raises(ValueError, match="quotes"):
+        path("a'b\"c")
+
+
 def test_same_key_same_partition(spark):
     e = envelope(spark, [(f"k{i % 7}", {}, i) for i in range(70)])
     placed = colocate(e, 5).select("key", F.spark_partition_id().alias("is"), key_partition(5).alias("told"))

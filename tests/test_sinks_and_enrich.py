@@ -5,9 +5,19 @@ from helpers import envelope, records
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from keyedflow import cache_list, cache_set, enrich_lookup, path, read_topic_files, template
+from keyedflow import (
+    cache_list,
+    cache_set,
+    enrich_lookup,
+    interval_join,
+    latest_by_key,
+    path,
+    read_topic_files,
+    table_join_latest,
+    template,
+)
 from keyedflow.sinks.cache import cache_sink
-from keyedflow.sinks.topics import write_topic_files
+from keyedflow.sinks.topics import land, write_topic_files
 from keyedflow.sources.topics import kafka_options, lookup_options
 
 LOOKUP = "id INT, region STRING, name STRING, score DOUBLE, rank INT"
@@ -108,6 +118,41 @@ def test_topic_files_round_trip(spark, folder):
         assert records(back, "offset") == [("a", {"x": 1, "n": None}, 5), ("b", None, 6)]
 
 
+def test_landed_order(spark, folder):
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), {"v": rng.randrange(3)}, rng.choice([7, 7, 7, rng.randrange(50)])) for _ in range(200)]
+    land(envelope(spark, rows).select("key", "value", "ts"), folder, partitions=4)
+    back = read_topic_files(spark, folder)
+    assert back.select("partition", "offset").distinct().count() == 200
+    assert back.select("partition").distinct().count() > 1
+    got = [(ms, key, v["v"]) for key, v, ms in records(back, "partition", "offset")]
+    assert got == sorted((ms, key, v["v"]) for key, v, ms in rows)
+    per_partition = {}
+    for r in back.select("partition", "offset").collect():
+        per_partition.setdefault(r.partition, []).append(r.offset)
+    assert all(sorted(offsets) == list(range(len(offsets))) for offsets in per_partition.values())
+
+
+def test_join_results_feed_joins_and_enrichment_but_need_landing_for_order(spark, folder):
+    e = envelope(spark, [("K", {"id": 1}, i) for i in range(3)])
+    pairs = interval_join(e, e, "a", "b", "key", 1)
+    assert interval_join(pairs, e, "p", "e", "key", 10, rows_per_task=2).count() == 7 * 3
+    on = [(F.variant_get("value.a.value", "$.id", "string"), "id")]
+    again = enrich_lookup(pairs, lookup(spark), on, [("name", "n")], broadcast_bytes=0, rows_per_task=2)
+    assert [r.n for r in again.select("value.n").collect()] == ["one"] * 7
+    for ordered in (lambda: cache_set(pairs, "key"), lambda: latest_by_key(pairs), lambda: table_join_latest(pairs, e, "a", "b", "key")):
+        with pytest.raises(ValueError, match="land"):
+            ordered()
+    land(pairs, folder, 2)
+    assert cache_list(read_topic_files(spark, folder), "key").count() == 7
+
+
+def test_cache_set_by_another_order(spark):
+    e = envelope(spark, [("a", {"v": 1}, 9), ("a", {"v": 2}, 3)])
+    got = cache_set(e, "key", order=("ts", "partition", "offset"))
+    assert got.select(F.to_json("value")).first()[0] == '{"v":1}'
+
+
 def test_connector_options():
     assert kafka_options("t", "h:1", True, 10) == {
         "kafka.bootstrap.servers": "h:1",

@@ -13,13 +13,18 @@ from keyedflow import (
     cache_list,
     cache_set,
     decode,
+    enrich_lookup,
     filter_,
     interval_join,
+    mapping,
+    merge,
     path,
     read_topic_files,
+    rekey,
     table_join_changelog,
     window_aggregate,
 )
+from keyedflow.operators.transforms import FROM_KEY
 from keyedflow.plans.runs import run_to_end, work_folder
 from keyedflow.sinks.topics import topic_files_stream
 from keyedflow.streaming.aggregates import window_aggregate_stream
@@ -220,6 +225,21 @@ def test_replayed_batch_is_not_counted_twice(spark, folder):
     assert read_cache_list(spark, f"{folder}/table").count() == 5
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
+def test_stateless_operators_and_lookup(spark, folder, options):
+    lookup = spark.createDataFrame([(1, "one"), (2, "two")], "id INT, name STRING")
+    a, b = topic(spark, folder, "a", *FILES), topic(spark, folder, "b", [("c", {"v": 2}, 0), ("c", {"v": 9}, 0)])
+
+    def job(left, right):
+        kept = filter_(merge(left, right), F.variant_get("value", "$.v", "int") < 4)
+        mapped = mapping(rekey(kept, path("v")), [("v", path("v")), ("from", FROM_KEY)])
+        return enrich_lookup(mapped, lookup, [("key", "id")], [("name", "name")], **options)
+
+    got = landed(spark, job(a.stream(), b.stream()), folder)
+    assert got == sorted(as_json(records(job(a.table(), b.table()))))
+    assert len(got) == 5
+
+
 def test_fan_out(spark, folder):
     t = topic(spark, folder, "t", *FILES)
     seen = []
