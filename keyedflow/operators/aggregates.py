@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keyedflow import rules
 from keyedflow.functions.exprs import as_double, as_text, value_field
-from keyedflow.operators.running import running, with_offset_chunk
+from keyedflow.operators.running import running, with_hot_offset_chunk, with_offset_chunk
 from keyedflow.operators.skew import ROWS_PER_TASK
 
 GROUP_MODES = ("GROUP_BY_KEY", "GROUP_BY")
@@ -118,6 +118,7 @@ def drop_late(
     """
     size_ms, grace_ms = rules.window_size(size, "TUMBLING"), rules.window_grace(grace)
     rules.ordered(df, [by, "partition", "offset"])
+    rules.batch("window_aggregate_stream, whose grace drops late records", df)
     timed = with_offset_chunk(df.withColumn("_stream_time", F.unix_millis("ts")), rows_per_chunk)
     seen = running(timed, [by], ["partition", "offset"], {"_stream_time": "max"})
     end = _window_start(size_ms) + size_ms
@@ -142,6 +143,7 @@ def window_aggregate(
     it the table is taken as complete and nothing is late.
     """
     size_ms = rules.window_size(size, window_type)
+    rules.batch("window_aggregate_stream", df)
     if grace is None:
         inputs = grouped_inputs(df, aggregations, group_mode, key_extractor, strict)
     else:
@@ -169,11 +171,13 @@ def window_aggregate_changelog(
     changelog can feed another operator.
     """
     size_ms = rules.window_size(size, window_type)
+    rules.batch("window_aggregate_stream in update mode", df)
     carried = sorted({"partition", "offset", stream_time_by} - {"key"})
     inputs = grouped_inputs(df, aggregations, group_mode, key_extractor, strict, carried)
     if grace is not None:
         inputs = drop_late(inputs, size_ms, grace, stream_time_by, rows_per_chunk)
-    inputs = with_offset_chunk(inputs.withColumn("_start", _window_start(size_ms)), rows_per_chunk)
+    inputs = inputs.withColumn("_start", _window_start(size_ms))
+    inputs = with_hot_offset_chunk(inputs, ["key", "_start"], rows_per_chunk)
     folds = {input_name(i): "sum" for i in range(len(aggregations))} | {"ts": "max"}
     totals = running(inputs, ["key", "_start"], ["partition", "offset"], folds)
     value = result_value(aggregations, F.col("_start"), F.col("_start") + size_ms)

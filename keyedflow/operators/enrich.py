@@ -17,22 +17,22 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 _ROW_OVERHEAD = 64
 
 
-def _first_rows(lookup: DataFrame, keys: list[str], fields, order_by: Sequence[str]) -> DataFrame:
-    """One row per lookup key: ``_p0.., _found{target: text}``; a null key matches nothing."""
+def _lookup_rows(lookup: DataFrame, keys: list[str], fields, order_by: Sequence[str]) -> DataFrame:
+    """Lookup cut to ``_p0.., _found{target: text}, _order``; a null key matches nothing."""
     found = F.struct(*[F.col(column).cast("string").alias(target) for column, target in fields])
     rows = lookup.select(
         *[F.col(c).cast("string").alias(f"_p{i}") for i, c in enumerate(keys)],
         found.alias("_found"),
         (F.struct(*order_by) if order_by else found).alias("_order"),
     )
-    params = [f"_p{i}" for i in range(len(keys))]
-    return rows.dropna(subset=params).groupBy(*params).agg(F.min_by("_found", "_order").alias("_found"))
+    return rows.dropna(subset=[f"_p{i}" for i in range(len(keys))]) if keys else rows
 
 
-def _text_bytes(first: DataFrame, params: list[str], targets: list[str]) -> int:
+def _text_bytes(rows: DataFrame, params: list[str], targets: list[str]) -> int:
+    """Size of all lookup rows, an upper bound for the first rows; one sum, nothing is shuffled."""
     texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c in [*params, *[f"_found.{t}" for t in targets]]]
     size = sum(texts[1:], texts[0]) + F.lit(_ROW_OVERHEAD)
-    return first.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
+    return rows.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
 
 
 def _attach(records: DataFrame, first: DataFrame, params: list[str], small: bool, rows_per_task: int) -> DataFrame:
@@ -104,13 +104,11 @@ def enrich_lookup(
             F.raise_error(F.lit("a null value cannot be enriched")).cast(df.schema["value"].dataType)))
     keys = [column for _, column in on]
     params = [f"_p{i}" for i in range(len(keys))]
+    rows, first_row = _lookup_rows(lookup, keys, fields, order_by), F.min_by("_found", "_order").alias("_found")
     if not on:
-        found = F.struct(*[F.col(column).cast("string").alias(target) for column, target in fields])
-        first = lookup.select(found.alias("_found"), (F.struct(*order_by) if order_by else found).alias("_order"))
-        attached = df.withColumn("_found", first.agg(F.min_by("_found", "_order")).scalar())
+        attached = df.withColumn("_found", rows.agg(first_row).scalar())
     else:
-        first = _first_rows(lookup, keys, fields, order_by)
         records = df.withColumns({p: as_text(df, e, strict) for p, (e, _) in zip(params, on)})
-        small = _text_bytes(first, params, targets) <= broadcast_bytes
-        attached = _attach(records, first, params, small, rows_per_task)
+        small = _text_bytes(rows, params, targets) <= broadcast_bytes
+        attached = _attach(records, rows.groupBy(*params).agg(first_row), params, small, rows_per_task)
     return attached.withColumn("value", _with_fields(df, F.col("_found"), targets)).select(*df.columns)

@@ -122,6 +122,7 @@ def interval_join(
     copied to each split.
     """
     rules.join_sides(left_name, right_name, select_key, join_type)
+    rules.batch("interval_join_stream", left, right)
     window_ms, _ = rules.join_window(window), rules.join_grace(grace)
     bucket_ms, ms = BUCKET_WINDOWS * window_ms, F.col("ms")
     at = _bucket(ms, bucket_ms)
@@ -175,6 +176,7 @@ def table_join_latest(
 ) -> DataFrame:
     """Final state of the table join: the latest left and right record of each key."""
     rules.join_sides(left_name, right_name, select_key, join_type)
+    rules.batch("table_join_stream", left, right)
     l = latest_by_key(_table_side(left, select_key, strict), order=order).alias("l")
     r = latest_by_key(_table_side(right, select_key, strict), order=order).alias("r")
     return l.join(r, F.col("l.key") == F.col("r.key")).select(
@@ -216,6 +218,7 @@ def table_join_changelog(
     rules.join_sides(left_name, right_name, select_key, join_type)
     if order_by not in ("ts", "offset"):
         raise ValueError(f"order_by must be 'ts' or 'offset', got {order_by!r}")
+    rules.batch("table_join_stream", left, right)
     arrivals = tagged_arrivals(left, right, select_key, strict)
     if order_by == "ts":
         order = ["ts", *ARRIVAL, "side"]

@@ -84,3 +84,9 @@ def ordered(df, order: Sequence[str]) -> None:
     missing = [c for c in order if c not in df.columns]
     if missing:
         raise ValueError(f"arrival order needs the columns {missing}; write join results with land() to get them")
+
+
+def batch(stream_form: str, *inputs) -> None:
+    """Operators over complete tables name their streaming form when given a stream."""
+    if any(df.isStreaming for df in inputs):
+        raise ValueError(f"this operator reads complete tables; for streams use {stream_form}")

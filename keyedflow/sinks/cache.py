@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from keyedflow import rules
 from keyedflow.functions.exprs import as_text
 from keyedflow.operators.joins import ARRIVAL, latest_by_key
-from keyedflow.operators.running import running, with_offset_chunk
+from keyedflow.operators.running import running, with_hot_offset_chunk
 from keyedflow.operators.skew import ROWS_PER_TASK
 
 MODES = ("SET", "LIST_APPEND")
@@ -39,6 +39,7 @@ def cache_set(
     df: DataFrame, key_expr: Column | str, strict: bool = True, order: Sequence[str] = ARRIVAL
 ) -> DataFrame:
     """Last value written under each rendered key: ``key, value``."""
+    rules.batch("cache_stream", df)
     entries = cache_entries(df, key_expr, strict, [c for c in order if c not in ARRIVAL])
     return latest_by_key(entries, order=order).select("key", "value")
 
@@ -47,7 +48,8 @@ def cache_list(
     df: DataFrame, key_expr: Column | str, strict: bool = True, rows_per_chunk: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Every value appended under each rendered key, in arrival order: ``key, position, value``."""
-    entries = with_offset_chunk(cache_entries(df, key_expr, strict), rows_per_chunk)
+    rules.batch("cache_stream", df)
+    entries = with_hot_offset_chunk(cache_entries(df, key_expr, strict), ["key"], rows_per_chunk)
     counted = running(entries.withColumn("position", F.lit(1).cast("bigint")), ["key"], ARRIVAL, {"position": "sum"})
     return counted.select("key", (F.col("position") - 1).alias("position"), "value")
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from keyedflow import rules
 from keyedflow.operators.joins import ARRIVAL, latest_by_key
-from keyedflow.operators.running import running, with_offset_chunk
+from keyedflow.operators.running import running, with_hot_offset_chunk
 from keyedflow.operators.skew import ROWS_PER_TASK
 from keyedflow.sinks.cache import MODES, cache_entries
 
@@ -85,6 +85,6 @@ def read_cache_set(spark: SparkSession, folder: str) -> DataFrame:
 def read_cache_list(spark: SparkSession, folder: str, rows_per_chunk: int = ROWS_PER_TASK) -> DataFrame:
     """``key, position, value`` of a LIST_APPEND cache: batch by batch, in arrival order."""
     rows = spark.read.parquet(folder).withColumn("partition", F.struct("batch_id", "partition"))
-    entries = with_offset_chunk(rows.withColumn("position", F.lit(1).cast("bigint")), rows_per_chunk)
+    entries = with_hot_offset_chunk(rows.withColumn("position", F.lit(1).cast("bigint")), ["key"], rows_per_chunk)
     counted = running(entries, ["key"], ARRIVAL, {"position": "sum"})
     return counted.select("key", (F.col("position") - 1).alias("position"), "value")

@@ -240,6 +240,19 @@ def test_stateless_operators_and_lookup(spark, folder, options):
     assert len(got) == 5
 
 
+def test_batch_operators_name_their_streaming_form(spark, folder):
+    e = topic(spark, folder, "t", *FILES).stream()
+    for call, form in (
+        (lambda: interval_join(e, e, "a", "b", "key", 1), "interval_join_stream"),
+        (lambda: table_join_changelog(e, e, "a", "b", "key"), "table_join_stream"),
+        (lambda: window_aggregate(e, AGGS, MINUTE), "window_aggregate_stream"),
+        (lambda: cache_set(e, "key"), "cache_stream"),
+        (lambda: cache_list(e, "key"), "cache_stream"),
+    ):
+        with pytest.raises(ValueError, match=form):
+            call()
+
+
 def test_fan_out(spark, folder):
     t = topic(spark, folder, "t", *FILES)
     seen = []
