@@ -26,6 +26,7 @@ from keyedflow.streaming.aggregates import window_aggregate_stream
 from keyedflow.streaming.joins import interval_join_stream, table_join_stream
 from keyedflow.streaming.settings import configure
 from keyedflow.streaming.sinks import (
+    append_stream,
     batch_folder,
     cache_stream,
     fan_out,
@@ -571,11 +572,21 @@ def stream_table_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table_join_stream(
         stream_customers(spark, sf_dir), stream_orders(spark, sf_dir), "customer", "order", "value.customerId"
     )
-    writer = joined.writeStream.format("parquet").option("path", f"{folder}/table")
-    run_to_end(writer.option("checkpointLocation", f"{folder}/checkpoint"))
+    run_to_end(append_stream(joined, f"{folder}/table", f"{folder}/checkpoint"))
     return flat_customer_orders(spark.read.parquet(f"{folder}/table"))
 
 
+@query
+def stream_job_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of the streaming job; in its one micro-batch nothing is late yet."""
+    configure(spark)
+    folder = work_folder(spark)
+    job = jobs.customer_orders_stream(stream_customers(spark, sf_dir), stream_orders(spark, sf_dir))
+    run_to_end(upsert_stream(job.stats, f"{folder}/table", f"{folder}/checkpoint"))
+    totals = read_latest(spark, f"{folder}/table", ["key", "value.windowStart"])
+    return flat_totals(totals, "orderCount", "totalAmount")
+
+
 @query
 def stream_enrich_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateless operators on streams: filter, merge, rekey, mapping and enrich."""
@@ -636,7 +647,8 @@ def _aggregate_checkpoint(spark: SparkSession, sf_dir: str) -> str:
 
 @query
 def state_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_state(spark, _aggregate_checkpoint(spark, sf_dir))
+    stores = list_state(spark, _aggregate_checkpoint(spark, sf_dir))
+    return stores.select(F.col("operatorId").cast("bigint").alias("operator"), "operatorName", "stateStoreName")
 
 
 @query

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 
 from keyedflow.operators.aggregates import Count, Sum, window_aggregate, window_aggregate_changelog
 from keyedflow.operators.joins import table_join_changelog
+from keyedflow.streaming.aggregates import window_aggregate_stream
+from keyedflow.streaming.joins import table_join_stream
 
 ORDER_STATS = (Count("orderCount"), Sum("amount", "totalAmount"))
 STATS_WINDOW_MS = 60_000
@@ -38,3 +40,17 @@ def customer_orders(customers: DataFrame, orders: DataFrame) -> CustomerOrders:
         key_extractor="value.customerId",
     )
     return CustomerOrders(joined, stats)
+
+
+def customer_orders_stream(customers: DataFrame, orders: DataFrame) -> CustomerOrders:
+    """``customer_orders`` on streams; write ``joined`` in append and ``stats`` in update mode."""
+    joined = table_join_stream(customers, orders, "customer", "order", "value.customerId")
+    stats = window_aggregate_stream(
+        orders,
+        ORDER_STATS,
+        STATS_WINDOW_MS,
+        STATS_GRACE_MS,
+        group_mode="GROUP_BY",
+        key_extractor="value.customerId",
+    )
+    return CustomerOrders(joined, stats)

@@ -219,6 +219,9 @@ ORACLE: dict[str, str] = {
     "job_order_stats_complete": totals(
         "orders", "cast(o_custkey AS varchar)", 60_000, ORDER_DAYS, "o_totalprice", "\"orderCount\"", "\"totalAmount\""
     ),
+    "stream_job_stats": totals(
+        "orders", "cast(o_custkey AS varchar)", 60_000, ORDER_DAYS, "o_totalprice", "\"orderCount\"", "\"totalAmount\""
+    ),
     "stream_topic": f"""
         SELECT {USER} AS key, event_type, value, event_id AS "offset" FROM events WHERE value > 50""",
     "stream_aggregate": totals("events", USER, DAY),
@@ -233,6 +236,9 @@ ORACLE: dict[str, str] = {
     "stream_fan_out": """
         SELECT o_orderstatus AS status, count(*) AS orders, round(sum(o_totalprice), 2) AS amount
         FROM orders GROUP BY o_orderstatus""",
+    "state_stores": """
+        SELECT cast(0 AS bigint) AS operator, 'stateStoreSave' AS "operatorName", 'default' AS "stateStoreName"
+        """,
     "state_entries": f"""
         SELECT {USER} AS key, count(*) AS n, cast(0 AS bigint) AS "windowStart",
                cast({36_500 * DAY} AS bigint) AS "windowEnd"

@@ -47,6 +47,13 @@ def fan_out(df: DataFrame, sinks: Sequence[BatchWriter], checkpoint: str) -> Dat
     return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_all)
 
 
+def append_stream(df: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
+    """Append an envelope to a parquet folder as it is, values typed."""
+    rules.required("folder", folder)
+    writer = df.writeStream.format("parquet").option("path", folder)
+    return writer.option("checkpointLocation", checkpoint).outputMode("append")
+
+
 def upsert_stream(df: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
     """Keep an update-mode stream as a table of changed rows; read it with ``read_latest``."""
     return (

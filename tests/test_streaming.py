@@ -275,12 +275,12 @@ def test_state_of_an_aggregate(spark, folder):
     stream = window_aggregate_stream(t.stream(), AGGS, MINUTE, 20 * MINUTE)
     run_to_end(upsert_stream(stream, f"{folder}/table", f"{folder}/checkpoint"))
     stores = list_state(spark, f"{folder}/checkpoint").collect()
-    assert [(r.operatorId, r.stateStoreName, r.numPartitions) for r in stores] == [(0, "default", 4)]
+    assert [(r.operatorId, r.stateStoreName, r.numPartitions) for r in stores] == [(0, "default", 2)]
     rows = dump_state(spark, f"{folder}/checkpoint").collect()
     got = sorted((json.loads(r.key)["key"], r.windowStart, r.windowEnd, json.loads(r.value)["sum"]) for r in rows)
     assert got == [("a", 0, MINUTE, 2), ("b", MINUTE, 2 * MINUTE, 1)]
     assert dump_state(spark, f"{folder}/checkpoint", limit=1).count() == 1
-    by_partition = [dump_state(spark, f"{folder}/checkpoint", partition=p).count() for p in range(4)]
+    by_partition = [dump_state(spark, f"{folder}/checkpoint", partition=p).count() for p in range(2)]
     assert sum(by_partition) == 2
 
 
