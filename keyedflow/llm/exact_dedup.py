@@ -53,9 +53,12 @@ def _is_set(bit: Column) -> Column:
 
 
 def exact_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), bits_per_row: int = 16
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), bits_per_row: int = 16, only_kept: bool = False
 ) -> DataFrame:
-    """Columns ``carry``, then keep_id, group_size, kept, text_sha256, for every row."""
+    """Columns ``carry``, then keep_id, group_size, kept, text_sha256, for every row.
+
+    With ``only_kept``: one row of each group, and only the columns ``carry``.
+    """
     names = [f"_c{i}" for i in range(len(carry))]
     hashed = df.select(
         *[F.col(c).alias(n) for c, n in zip(carry, names)],
@@ -86,6 +89,9 @@ def exact_dedup(
         (F.col("_id").eqNullSafe(F.col("_best.id")) & (-F.col("_n") == F.col("_best.n"))).alias("kept"),
         "_sha",
     )
+    if only_kept:
+        out = unique.select(names).unionByName(repeated.where("kept").dropDuplicates(["_sha"]).select(names))
+        return out.toDF(*carry)
     out = unique.unionByName(repeated)
     return out.select(
         *[F.col(n).alias(c) for c, n in zip(carry, names)], "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256")

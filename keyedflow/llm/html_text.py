@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -253,23 +254,24 @@ def extract(df: DataFrame) -> DataFrame:
     size = known.agg(F.sum(F.octet_length("template"))).first()[0] or 0
     joined = pages.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
 
-    def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict[str, dict] = {}
         for batch in batches:
             out = []
-            for markup, template in zip(batch["html"], batch["template"]):
+            for markup, template in zip(batch["html"].to_pylist(), batch["template"].to_pylist()):
                 own = None
-                if isinstance(template, str):
+                if template is not None:
                     if template not in parsed:
                         if len(parsed) >= 10_000:
                             parsed.clear()
                         parsed[template] = json.loads(template)
                     own = parsed[template]
                 out.append(main_text(Page(markup), own))
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": out})
+            columns = [batch["page_id"], batch["url"], pa.array(out, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text"])
 
     kind = df.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "template").mapInPandas(extracted, f"page_id {kind}, url string, text string")
+    return joined.select("page_id", "url", "html", "template").mapInArrow(extracted, f"page_id {kind}, url string, text string")
 
 
 def op8_html_text(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,21 +133,23 @@ def sketches(df: DataFrame) -> DataFrame:
     """doc_id, row, n_shingles, set_id, bands, bits (a byte of each coordinate) of every row."""
     kind = df.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, row long, k1 long, k2 long, n_shingles long, set_id binary, bands array<long>, bits binary"
+    names = ["doc_id", "row", "k1", "k2", "n_shingles", "set_id", "bands", "bits"]
+    types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
-    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for s in shingle_sets(batch["text"].tolist()):
+            for s in shingle_sets(batch["text"].to_pylist()):
                 if len(s):
                     made = sketch(s)
                     bits = (_mix(made) & np.uint64(255)).astype(np.uint8).tobytes()
                     rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bands(made), bits))
                 else:
                     rows.append((0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_id", "bands", "bits"])
-            yield pd.concat([batch[["doc_id", "row", "k1", "k2"]].reset_index(drop=True), out], axis=1)
+            made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)]
+            yield pa.RecordBatch.from_arrays([batch[c] for c in names[:4]] + made, names)
 
-    return store(_keyed(df).withColumn("row", F.monotonically_increasing_id()).mapInPandas(sketched, schema))
+    return store(_keyed(df).withColumn("row", F.monotonically_increasing_id()).mapInArrow(sketched, schema))
 
 
 def _keyed(df: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,24 +152,26 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(df: DataFrame, capacity: int = CAPACITY, ranks: str = RANKS, keep_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document, and the ids if asked for."""
     schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
-    def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words.get(ranks)
         if words is None:
             words = _words[ranks] = _Words(ranks)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for row, text in enumerate(batch["text"]):
+            for row, text in enumerate(batch["text"].to_pylist()):
                 ids = words.encode(text) + end
                 for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + length)]
-                    rows.append((row, i, start, length, zlib.crc32(own), np.frombuffer(own, "<u4").astype("int32") if keep_ids else None))
-            out = pd.DataFrame(rows, columns=["row", "piece", "start", "length", "ids_crc32", "ids"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy()[out["row"].to_numpy(dtype="int64")])
-            yield out.drop(columns=["row"] + ["ids"] * (not keep_ids))
+                    rows.append((row, i, start, length, zlib.crc32(own), np.frombuffer(own, "<u4").tolist() if keep_ids else None))
+            row, *columns = zip(*rows) if rows else [()] * (len(types) + 1)
+            columns = [batch["doc_id"].take(pa.array(row, pa.int64())), *map(pa.array, columns, types)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]).select(names)
 
-    return df.select("doc_id", text_of().alias("text")).mapInPandas(tokenised, schema + ", ids array<int>" * keep_ids)
+    return df.select("doc_id", text_of().alias("text")).mapInArrow(tokenised, schema + ", ids array<int>" * keep_ids)
 
 
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

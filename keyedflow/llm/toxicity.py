@@ -24,7 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,16 +71,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Terms()
         for batch in batches:
-            found = [np.fromiter(known.of(text), "int32") for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": found})
+            found = [sorted(known.of(text)) for text in batch["text"].to_pylist()]
+            columns = [batch["doc_id"], batch["toxic"], pa.array(found, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "terms"])
 
     # The sample has TRAIN_ROWS rows of two numbers at most.
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return store(rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInPandas(terms, f"doc_id {kind}, toxic int, terms array<int>"))
+    return store(rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(terms, f"doc_id {kind}, toxic int, terms array<int>"))
 
 
 def best_terms(rows: DataFrame, positive: int, negative: int, most: int = TERMS) -> list[int]:
@@ -115,6 +116,10 @@ class Model:
         pairs = 0.5 * (own.sum(0) ** 2 - (own**2).sum(0)).sum()
         return float(self.bias + self.w[present].sum() + pairs)
 
+    def scores(self, texts: pa.Array, known: _Terms) -> np.ndarray:
+        raw = np.array([self.raw(sorted(known.of(text or ""))) for text in texts.to_pylist()], float)
+        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+
     def fit(self, rows: list[tuple[int, list[int]]]) -> None:
         """Adam on the log loss, with weights that decay; ``rows`` has (label, present terms)."""
         if not self.terms or not rows:
@@ -170,14 +175,28 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Terms(model.terms)
         for batch in batches:
-            raw = np.array([model.raw(sorted(known.of(text))) for text in batch["text"]], float)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": 1 / (1 + np.exp(-np.clip(raw, -30, 30)))})
+            scores = model.scores(batch["text"], known)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores)], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(scored, f"doc_id {kind}, score double")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(scored, f"doc_id {kind}, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, whole, that score below ``threshold``."""
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Terms(model.terms)
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(batch.column(at), known) < threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
