@@ -2,8 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import connect, difference
+from keyedflow.plans.catalogue import QUERIES
+from keyedflow.plans.oracle import ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -11,13 +13,13 @@ def db(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, sf_dir, db, name):
-    assert difference(queries()[name](spark, sf_dir), db, oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, sf_dir), db, ORACLE[name]) is None
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
