@@ -186,20 +186,24 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Id, text, edited text, their digests at the common sizes, and those of the next document."""
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     around = neighbours(rows)
-    base = rows.join(around, rows["id"].eqNullSafe(around["id"])).drop(around["id"]).withColumn("n", F.char_length("text"))
-
-    n, own = F.col("n"), unit(F.col("n"))
-    head = base.where(F.xxhash64("text") == F.col("own.hash")).select(
-        F.col("prev_id").alias("id"),
+    # The texts are dealt by id twice alike, so that one exchange serves both uses.
+    placed = rows.join(around, rows["id"].eqNullSafe(around["id"])).drop(around["id"])
+
+    n = F.char_length("text")
+    own = unit(n)
+    # Not as an equality, which would become a join key and deal the texts by id and hash.
+    stands = F.xxhash64("text").bitwiseXOR(F.col("own.hash")) == 0
+    head = placed.where(stands).select(
+        F.col("prev_id").alias("head_id"),
         F.left("text", F.floor(F.col("prev_n") / 4).cast("int")).alias("head"),
         digests(F.col("text"), F.greatest(own, unit(F.col("prev_n")))).alias("next_digests"),
         own.alias("next_unit"),
-        "prev_n",
     )
     if around.agg(F.max("rows")).first()[0] not in (None, 1):
-        head = head.dropDuplicates(["id"])
+        head = head.dropDuplicates(["head_id"])
+    n, own = F.col("n"), unit(F.col("n"))
     moved = F.floor(n / 4).cast("int")
-    joined = base.drop("prev_n").join(head, base["id"].eqNullSafe(head["id"])).drop(head["id"])
+    joined = rows.join(head, rows["id"].eqNullSafe(head["head_id"])).withColumn("n", F.char_length("text"))
     cut = joined.withColumn("edited", F.concat(F.left("text", n - moved), F.left("head", moved)))
     cut = cut.withColumn("edited_unit", unit(F.char_length("edited")))
     return cut.select(
