@@ -9,8 +9,8 @@ likeness (Jaccard), with the concentration of independent samples.
 Sets with equal sketches in a band of ROWS coordinates are candidates. Sets of likeness 0.8
 miss all BANDS bands with a probability of 7e-6. Equal sets count once. In a bucket the set that
 meets most others is compared with all; only buckets whose sets are then still in different
-components are compared fully, in blocks of BLOCK sets, by their sketches. Candidates are
-confirmed on full sets. No bucket or candidate is left out, whatever its size.
+components are compared fully, in blocks of BLOCK sets, by their sketches first. Candidates
+are confirmed on full sets. No bucket or candidate is left out, whatever its size.
 
 Defined results: null texts count as empty. A text without words has no shingles and is linked
 with nothing, not even with another empty text; its component is its own id. A text with fewer
@@ -41,6 +41,8 @@ PERCENT = 80
 #: Sets of a block, and the likeness by sketch from which a pair is confirmed on full sets: at
 #: a true likeness of 0.8 the sketch stays above it but for one pair in 200,000.
 BLOCK, FLOOR = 512, 0.65
+#: Words of a block, all sets together, before there are more blocks.
+BLOCK_WORDS = 2_000_000
 #: Bytes of text that are hashed at a time in a task.
 CHUNK = 1 << 20
 
@@ -198,39 +200,61 @@ def _sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(n1, "a").join(n2, "b").where(_alike("n1", "n2")).select("a", "b")
 
 
-def _block_pairs(shared: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket whose sketches are near, from blocks of it.
+def _block_links(shared: DataFrame, sets: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between sets of one bucket that are in different components, from blocks of it.
 
-    Buckets of two have been compared. A bucket of n sets has ceil(n / BLOCK) blocks, and two
-    blocks meet in one task, so that no task holds more than 2 * BLOCK sets or so.
+    Buckets of two have been compared. Two blocks of a bucket meet in one task, which compares
+    their sets by the sketches' bytes and then fully; it gives only links that join what it has
+    not joined yet, so no more than it has sets. A pair counts in its first common band only.
+    A block has about BLOCK sets, fewer where these are large.
     """
     at = shared.where("in_bucket > 2").join(found, "node", "left")
     at = at.withColumn("component", F.coalesce("component", "node"))
-    mixed = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    at = at.join(mixed.select("bucket"), "bucket").join(sets.select("node", "n_shingles", "bits"), "node")
-    blocks = F.ceil(F.col("in_bucket") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    at = at.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    at = at.withColumn("lower", F.least("mine", "other")).withColumn("upper", F.greatest("mine", "other"))
-
-    def near(group: pd.DataFrame) -> pd.DataFrame:
+    at = at.join(sets.select("node", "n_shingles", "bits", "bands"), "node")
+    mixed = at.groupBy("bucket").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n_shingles").alias("words")
+    ).where("lo < hi")
+    blocks = F.greatest(F.ceil(F.col("in_bucket") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+    at = at.join(mixed.select("bucket", "words"), "bucket").withColumn("blocks", blocks)
+    at = at.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(texts, "node")
+    at = at.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    at = at.select(
+        "bucket", F.least("mine", "other").alias("lower"), F.greatest("mine", "other").alias("upper"),
+        "mine", "node", "component", "n_shingles", "bits", "bands", "text",
+    )
+
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
         bits = np.frombuffer(b"".join(group["bits"]), np.uint8).reshape(-1, SIZE)
-        node, n, component, mine = (group[c].to_numpy() for c in ("node", "n_shingles", "component", "mine"))
-        lower, upper = group["lower"].iloc[0], group["upper"].iloc[0]
-        rows = np.flatnonzero(mine == lower)
-        columns = np.flatnonzero(mine == upper)
-        out = []
-        for i in rows:
+        banded = np.array(group["bands"].tolist(), np.int64)
+        node, n, component, mine = (group[c].to_numpy(copy=True) for c in ("node", "n_shingles", "component", "mine"))
+        bucket, lower, upper = (group[c].iloc[0] for c in ("bucket", "lower", "upper"))
+        full: dict[int, np.ndarray] = {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in full:
+                full[i] = next(shingle_sets([group["text"].iloc[i]]))
+            return full[i]
+
+        columns, out = np.flatnonzero(mine == upper), []
+        for i in np.flatnonzero(mine == lower):
             other = columns[(component[columns] != component[i]) & ((lower != upper) | (columns > i))]
             other = other[100 * np.minimum(n[other], n[i]) >= PERCENT * np.maximum(n[other], n[i])]
-            if len(other):
-                agree = (bits[other] == bits[i]).mean(1)
-                out.extend((node[i], node[j]) for j in other[(agree - 1 / 256) / (1 - 1 / 256) >= FLOOR])
+            other = other[((bits[other] == bits[i]).mean(1) - 1 / 256) / (1 - 1 / 256) >= FLOOR]
+            same = banded[other] == banded[i]
+            other = other[banded[i][same.argmax(1)] == bucket] if len(other) else other
+            if not len(other):
+                continue
+            own, sizes = of(i), n[other]
+            every = np.concatenate([of(j) for j in other])
+            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            shared_ = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+            for j in other[100 * shared_ >= PERCENT * (len(own) + sizes - shared_)]:
+                if component[i] != component[j]:
+                    component[component == component[j]] = component[i]
+                    out.append((node[i], node[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return at.groupBy("bucket", "lower", "upper").applyInPandas(near, "a long, b long").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).distinct()
+    return at.groupBy("bucket", "lower", "upper").applyInPandas(linked, "a long, b long").distinct()
 
 
 def near_dedup(df: DataFrame) -> DataFrame:
@@ -256,11 +280,9 @@ def near_dedup(df: DataFrame) -> DataFrame:
 
     links = verified(pairs, texts)
     found = store(components(links))
-    more = store(_block_pairs(shared, sets, found))
+    more = store(_block_links(shared, sets, found, texts))
     if not more.isEmpty():
-        more_links = verified(more, texts)
-        if not more_links.isEmpty():
-            found = store(components(links.unionByName(more_links)))
+        found = store(components(links.unionByName(more)))
 
     known = rows.select("doc_id", "row", "n_shingles", "set_id").join(sets.select("set_id", "node"), "set_id", "left")
     known = known.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
