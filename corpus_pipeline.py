@@ -8,12 +8,11 @@ documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from keyedflow.llm.common import store
 from keyedflow.llm.exact_dedup import exact_dedup
 from keyedflow.llm.mixing import mixed
-from keyedflow.llm.near_dedup import near_dedup
+from keyedflow.llm.near_dedup import without_near_copies
 from keyedflow.llm.packing import pack, pieces
 from keyedflow.llm.toxicity import keep_clean, train
 
@@ -31,8 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
-    dropped = store(near_dedup(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct())
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped"]), "left_anti")
+    return without_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

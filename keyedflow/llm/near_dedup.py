@@ -257,8 +257,18 @@ def _block_links(shared: DataFrame, sets: DataFrame, found: DataFrame, texts: Da
     return at.groupBy("bucket", "lower", "upper").applyInPandas(linked, "a long, b long").distinct()
 
 
-def near_dedup(df: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``df`` (doc_id, text)."""
+def without_near_copies(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, whole, that their component keeps; told by id and text."""
+    dropped = store(near_dedup(df.select("doc_id", "text"), keys=True).where("not kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
+    same = (F.xxhash64("doc_id", text_of()) == F.col("_k1")) & (F.xxhash64(text_of(), "doc_id", F.lit(1)) == F.col("_k2"))
+    return df.join(dropped, same, "left_anti")
+
+
+def near_dedup(df: DataFrame, keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``df`` (doc_id, text).
+
+    With ``keys`` also the two hashes that tell rows by id and text.
+    """
     rows = sketches(df)
     # Sets that several rows have count once, as the node that is their smallest row.
     sets = store(
@@ -284,13 +294,14 @@ def near_dedup(df: DataFrame) -> DataFrame:
     if not more.isEmpty():
         found = store(components(links.unionByName(more)))
 
-    known = rows.select("doc_id", "row", "n_shingles", "set_id").join(sets.select("set_id", "node"), "set_id", "left")
+    known = rows.select("doc_id", "row", "n_shingles", "set_id", F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).join(sets.select("set_id", "node"), "set_id", "left")
     known = known.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = known.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = known.join(least, "component", "left").withColumn(
         "component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     )
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    told = [F.col("_k1").alias("k1"), F.col("_k2").alias("k2")] if keys else []
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *told)
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
