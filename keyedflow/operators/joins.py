@@ -18,8 +18,6 @@ ARRIVAL = ("partition", "offset")
 # it is within a window of a border, so of eight windows one record in four is; longer buckets
 # copy less but compare more records that are too far apart.
 BUCKET_WINDOWS = 8
-# Copies of the small side stay below this many; each split of the large side grows instead.
-MAX_SPLITS = 4096
 
 
 def joined_value(left_name: str, left: Column, right_name: str, right: Column) -> Column:
@@ -92,7 +90,7 @@ def _splits(
     grid = all_of([c > rows_per_task for c in counts])
 
     def splits(rows_on_side: Column) -> Column:
-        wanted = F.least(F.ceil(rows_on_side / rows_per_task), F.lit(MAX_SPLITS))
+        wanted = F.ceil(rows_on_side / rows_per_task)
         return F.greatest(F.when(grid, F.ceil(F.sqrt(wanted))).otherwise(wanted), F.lit(1)).cast("bigint")
 
     return hot.select("_hash", splits(counts[0]).alias("_left"), splits(counts[1]).alias("_right"))

@@ -1,9 +1,9 @@
 """Finding groups too large for one task.
 
 Counting is exact and aggregates before it shuffles; only the group hash and a few
-numbers move. A group is hot when it has more rows than ``rows_per_task`` and more than
-1/MAX_HOT of all rows, so there can never be more than MAX_HOT hot groups and the result
-is safe to broadcast whatever the size of the data. Hash collisions are harmless: a
+numbers move. A group is hot when it has more rows than ``rows_per_task``, so there is at
+most one hot group for so many rows (a million by default): a trillion rows have a few tens
+of MB of them, which can be broadcast. Hash collisions are harmless: a
 small group that shares a hash with a hot one is merely split as well.
 """
 
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
-MAX_HOT = 100_000
 
 
 def spread(df: DataFrame) -> Column:
@@ -27,9 +26,7 @@ def hot_groups(
     df: DataFrame, group: Column, rows_per_task: int, measures: dict[str, Column] | None = None
 ) -> DataFrame:
     """Hot groups as ``(_hash, _rows, measures...)``; ``group`` is a hash column over ``df``."""
-    # Counted apart: a sum over the groups below would shuffle them a second time.
-    total = df.agg(F.count(F.lit(1))).scalar()
     counted = df.groupBy(group.alias("_hash")).agg(
         F.count(F.lit(1)).alias("_rows"), *[m.alias(name) for name, m in (measures or {}).items()]
     )
-    return counted.where((F.col("_rows") > rows_per_task) & (F.col("_rows") * MAX_HOT > total))
+    return counted.where(F.col("_rows") > rows_per_task)

@@ -34,10 +34,13 @@ def mapping(df: DataFrame, fields: Sequence[tuple[str, object]], strict: bool =
 def filter_(df: DataFrame, predicate: Column | str, strict: bool = True) -> DataFrame:
     """Keep records whose predicate is true; a null predicate raises.
 
-    ``strict=False`` drops nulls instead, which lets Spark push the predicate into the
-    scan; use it on columns known to hold no nulls.
+    ``strict=False`` drops nulls instead. Either way Spark can push the predicate into the
+    scan: what is surely false goes first, and only the rest is checked for nulls.
     """
     rules.required("predicate", predicate)
+    if strict:
+        flag = as_bool(df, predicate, strict=False)
+        df = df.filter(flag | flag.isNull())
     return df.filter(as_bool(df, predicate, strict))
 
 

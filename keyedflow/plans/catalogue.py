@@ -15,7 +15,7 @@ from keyedflow.functions.exprs import as_double, lenient_text, now_millis, path,
 from keyedflow.operators.aggregates import Count, Sum, drop_late, window_aggregate, window_aggregate_changelog
 from keyedflow.operators.enrich import enrich_lookup
 from keyedflow.operators.joins import interval_join, latest_by_key, table_join_changelog, table_join_latest
-from keyedflow.operators.transforms import FROM_KEY, filter_, key_partition, mapping, merge, rekey
+from keyedflow.operators.transforms import FROM_KEY, colocate, filter_, key_partition, mapping, merge, rekey
 from keyedflow.plans import jobs, tables
 from keyedflow.plans.runs import read_stream, run_to_end, work_folder
 from keyedflow.sinks.cache import cache_list, cache_set
@@ -192,16 +192,18 @@ def rekey_json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def key_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = tables.events(spark, sf_dir).select("key", key_partition(16).alias("p"))
-    return placed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), (F.max("p") - F.min("p")).cast("bigint").alias("spread")
+    """Rows of a key that are not in the partition that ``key_partition`` names: none."""
+    placed = colocate(tables.events(spark, sf_dir).select("key"), 16)
+    away = F.abs(F.spark_partition_id() - key_partition(16)).alias("away")
+    return placed.select("key", away).groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("away").cast("bigint").alias("spread")
     )
 
 
 @query
 def merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.events(spark, sf_dir)
-    merged = merge(of_type(e, "click"), of_type(e, "purchase"), of_type(e, "click"))
+    merged = merge(e, of_type(e, "click"))
     return merged.select("key", "value.event_type", "offset")
 
 
@@ -486,7 +488,7 @@ def join_into_cache_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.events(spark, sf_dir)
     pairs = interval_join(of_type(e, "click"), of_type(e, "purchase"), "left", "right", "key", TEN_MINUTES_MS)
     folder = f"{work_folder(spark)}/topic"
-    land(mapping(pairs, [("at", F.unix_millis("ts"))]), folder, partitions=8)
+    land(mapping(pairs, [("at", F.unix_millis("ts"))]), folder)
     cached = cache_list(read_topic_files(spark, folder, "at BIGINT"), "key")
     return cached.select("key", "position", F.col("value.at").alias("ts_ms"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 DAY, HOUR = 86_400_000, 3_600_000
 # Times are cut to whole ms; epoch_ms would round them.
-# Times are cut to whole ms; epoch_ms would round them.
 MS = "(epoch_us(ts) // 1000)"
 
 
@@ -141,8 +140,7 @@ ORACLE: dict[str, str] = {
     "key_placement": f"""
         SELECT {USER} AS key, count(*) AS n, cast(0 AS bigint) AS spread FROM events GROUP BY user_id""",
     "merge_events": f"""
-        SELECT {USER} AS key, event_type, event_id AS "offset" FROM events WHERE event_type = 'click'
-        UNION ALL SELECT {USER}, event_type, event_id FROM events WHERE event_type = 'purchase'
+        SELECT {USER} AS key, event_type, event_id AS "offset" FROM events
         UNION ALL SELECT {USER}, event_type, event_id FROM events WHERE event_type = 'click'""",
     "scalar_conversions": f"""
         SELECT {USER} AS key, event_id AS "offset",

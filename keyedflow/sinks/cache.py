@@ -22,17 +22,20 @@ MODES = ("SET", "LIST_APPEND")
 
 
 def cache_entries(
-    df: DataFrame, key_expr: Column | str, strict: bool = True, carried: Sequence[str] = ()
+    df: DataFrame, key_expr: Column | str, strict: bool = True, order: Sequence[str] = ARRIVAL
 ) -> DataFrame:
-    """Records under their cache key; a null value cannot be cached and raises when strict."""
+    """Records under their cache key, with the columns that order them.
+
+    A null value cannot be cached and raises when strict.
+    """
     rules.required("key_expr", key_expr)
-    rules.ordered(df, ARRIVAL)
+    rules.ordered(df, order)
     value = F.col("value")
     if strict:
         value = F.when(value.isNotNull(), value).otherwise(
             F.raise_error(F.lit("a null value cannot be cached")).cast(df.schema["value"].dataType)
         )
-    return df.select(as_text(df, key_expr, strict).alias("key"), value.alias("value"), *ARRIVAL, *carried)
+    return df.select(as_text(df, key_expr, strict).alias("key"), value.alias("value"), *order)
 
 
 def cache_set(
@@ -40,7 +43,7 @@ def cache_set(
 ) -> DataFrame:
     """Last value written under each rendered key: ``key, value``."""
     rules.batch("cache_stream", df)
-    entries = cache_entries(df, key_expr, strict, [c for c in order if c not in ARRIVAL])
+    entries = cache_entries(df, key_expr, strict, order)
     return latest_by_key(entries, order=order).select("key", "value")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -37,15 +38,33 @@ def write_topic_files(df: DataFrame, folder: str, file_format: str = "parquet")
     encode(df).write.format(file_format).mode("append").save(folder)
 
 
-def land(df: DataFrame, folder: str, partitions: int, order: Sequence[str] = ("ts", "key")) -> None:
+def _has_rows(spark: SparkSession, folder: str) -> bool:
+    try:
+        return not spark.read.schema("offset BIGINT").parquet(folder).isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def land(
+    df: DataFrame, folder: str, partitions: int | None = None, order: Sequence[str] = ("ts", "key")
+) -> None:
     """Give a derived envelope an arrival order by writing it as a topic.
 
     Join results have no ``partition`` and ``offset`` of their own. This writes them sorted
     by ``order`` (ties by value), cut into ranges of about equal size that become the
     partitions, so that ``(partition, offset)`` follows the order over the whole topic. Read
     it back with ``read_topic_files``, which also saves computing a long chain twice.
+
+    The partitions are as many as the session shuffles to, if not given. A folder that has
+    rows is refused: offsets start at 0, so a second run would repeat those of the first.
     """
     rules.required("folder", folder)
+    if _has_rows(df.sparkSession, folder):
+        raise ValueError(f"{folder} has rows already; their offsets would be repeated")
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if partitions <= 0:
         raise ValueError(f"partitions must be above 0, got {partitions}")
     by = [*["timestamp" if c == "ts" else c for c in order], "value"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader
 
@@ -62,10 +63,16 @@ def read_topic_files(
     file_format: str = "parquet",
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Envelope of topic rows landed as files with the columns of ``LANDED_SCHEMA``."""
+    """Envelope of topic rows landed as files with the columns of ``LANDED_SCHEMA``.
+
+    Reading the arrival of a row that was written without one raises.
+    """
     rules.required("folder", folder)
     reader = bounded_stream(spark, max_files_per_trigger) if streaming else spark.read
-    return decode(reader.format(file_format).schema(LANDED_SCHEMA).load(folder), schema)
+    landed = reader.format(file_format).schema(LANDED_SCHEMA).load(folder)
+    message = F.lit("a landed row has no arrival; write join results with land()")
+    arrival = {c: F.coalesce(F.col(c), F.raise_error(message).cast(landed.schema[c].dataType)) for c in ("partition", "offset")}
+    return decode(landed.withColumns(arrival), schema)
 
 
 def read_lookup(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

@@ -9,6 +9,7 @@ from keyedflow import (
     cache_list,
     cache_set,
     enrich_lookup,
+    filter_,
     interval_join,
     latest_by_key,
     path,
@@ -163,3 +164,32 @@ def test_connector_options():
     }
     assert "maxOffsetsPerTrigger" not in kafka_options("t", "h:1", False, 10)
     assert lookup_options("jdbc:x", "SELECT 1 AS a") == {"url": "jdbc:x", "dbtable": "(SELECT 1 AS a) lookup_rows"}
+
+
+def test_strict_filter_reaches_the_scan(spark, folder):
+    spark.range(10).selectExpr("cast(id as string) as key", "named_struct('n', id) as value").write.parquet(f"{folder}/t")
+    kept = filter_(spark.read.parquet(f"{folder}/t"), "value.n > 3")
+    assert "GreaterThan(value.n,3)" in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 6
+    spark.range(2).selectExpr("cast(id as string) as key", "named_struct('n', nullif(id, 1)) as value").write.parquet(f"{folder}/u")
+    with pytest.raises(Exception, match="null"):
+        filter_(spark.read.parquet(f"{folder}/u"), "value.n > 3").collect()
+
+
+def test_cache_set_by_an_order_of_its_own(spark):
+    totals = spark.createDataFrame([("a", 1, 5), ("a", 3, 7), ("a", 2, 6), ("b", 1, 1)], "key string, ts int, value int")
+    assert {tuple(r) for r in cache_set(totals, "key", order=["ts"]).collect()} == {("a", 7), ("b", 1)}
+
+
+def test_land_refuses_a_folder_that_has_rows(spark, folder):
+    rows = envelope(spark, [("a", {"n": 1}, 5)], "n BIGINT").select("key", "value", "ts")
+    land(rows, f"{folder}/t")
+    with pytest.raises(ValueError, match="has rows"):
+        land(rows, f"{folder}/t")
+
+
+def test_rows_landed_without_arrival_raise(spark, folder):
+    rows = envelope(spark, [("a", {"n": 1}, 5)], "n BIGINT").select("key", "value", "ts")
+    write_topic_files(rows, f"{folder}/t")
+    with pytest.raises(Exception, match="no arrival"):
+        cache_list(read_topic_files(spark, f"{folder}/t", "n BIGINT"), "key").collect()
