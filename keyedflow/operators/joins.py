@@ -214,10 +214,17 @@ def table_join_changelog(
     ``offset`` that keeps both sides apart, so the changelog can feed another operator.
     """
     rules.join_sides(left_name, right_name, select_key, join_type)
+    rules.batch("table_join_stream", left, right)
+    return paired_arrivals(tagged_arrivals(left, right, select_key, strict), left_name, right_name, order_by, rows_per_chunk)
+
+
+def paired_arrivals(
+    arrivals: DataFrame, left_name: str, right_name: str, order_by: str = "ts", rows_per_chunk: int = ROWS_PER_TASK
+) -> DataFrame:
+    """``table_join_changelog`` over ``tagged_arrivals`` that may come from a stored log of them."""
+    rules.batch("table_join_stream", arrivals)
     if order_by not in ("ts", "offset"):
         raise ValueError(f"order_by must be 'ts' or 'offset', got {order_by!r}")
-    rules.batch("table_join_stream", left, right)
-    arrivals = tagged_arrivals(left, right, select_key, strict)
     if order_by == "ts":
         order = ["ts", *ARRIVAL, "side"]
         arrivals = with_hot_time_chunk(arrivals, ["key"], rows_per_chunk)

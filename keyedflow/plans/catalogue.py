@@ -23,7 +23,7 @@ from keyedflow.sinks.topics import encode, land, topic_files_stream, write_topic
 from keyedflow.sources.envelope import decode
 from keyedflow.sources.topics import read_topic_files
 from keyedflow.streaming.aggregates import window_aggregate_stream
-from keyedflow.streaming.joins import interval_join_stream, table_join_stream
+from keyedflow.streaming.joins import interval_join_stream, read_table_join, table_join_log
 from keyedflow.streaming.settings import configure
 from keyedflow.streaming.sinks import (
     append_stream,
@@ -42,6 +42,8 @@ QUERIES: dict[str, Query] = {}
 
 DAY_MS, HOUR_MS, TEN_MINUTES_MS = 86_400_000, 3_600_000, 600_000
 TOTALS = (Count("n"), Sum("value", "total"))
+# Streams over whole tables read files in any order: a delay that covers all times in them.
+ALL_TIMES_MS = 36_500 * DAY_MS
 
 
 def query(f: Query) -> Query:
@@ -520,7 +522,20 @@ def job_order_stats_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_totals(jobs.order_stats(tables.orders(spark, sf_dir), grace=None), "orderCount", "totalAmount")
 
 
-# Streaming: each query reads its table as a stream, runs to the end and reads its output
+@query
+def aggregate_into_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last window's totals of every user, as a key-value store keeps them."""
+    totals = window_aggregate(tables.events(spark, sf_dir), TOTALS, DAY_MS)
+    return flat_cached_totals(cache_set(totals, "key", order=["ts"]))
+
+
+def flat_cached_totals(df: DataFrame) -> DataFrame:
+    v = F.col("value")
+    return df.select("key", v["n"].alias("n"), F.round(v["total"], 2).alias("total"), v["windowStart"].alias("window_start"))
+
+
+# Streaming: each query reads its table as a stream, runs to the end and reads its output.
+# Their results don't depend on how the tables are cut into micro-batches.
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -548,7 +563,7 @@ def stream_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     folder = work_folder(spark)
-    totals = window_aggregate_stream(stream_events(spark, sf_dir), TOTALS, DAY_MS, 5_000)
+    totals = window_aggregate_stream(stream_events(spark, sf_dir), TOTALS, DAY_MS, ALL_TIMES_MS)
     run_to_end(upsert_stream(totals, f"{folder}/table", f"{folder}/checkpoint"))
     return flat_totals(read_latest(spark, f"{folder}/table", ["key", "value.windowStart"]))
 
@@ -559,7 +574,9 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark)
     clicks = filter_(stream_events(spark, sf_dir), "value.event_type = 'click'")
     purchases = filter_(stream_events(spark, sf_dir), "value.event_type = 'purchase'")
-    pairs = interval_join_stream(clicks, purchases, "left", "right", "key", TEN_MINUTES_MS, 5_000, salts=2)
+    pairs = interval_join_stream(
+        clicks, purchases, "left", "right", "key", TEN_MINUTES_MS, 5_000, salts=2, disorder=ALL_TIMES_MS
+    )
     run_to_end(topic_files_stream(pairs, f"{folder}/topic", f"{folder}/checkpoint"))
     landed = spark.read.parquet(f"{folder}/topic")
     event = "key STRING, value STRUCT<event_type STRING, value DOUBLE>"
@@ -569,21 +586,18 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_table_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
     folder = work_folder(spark)
-    joined = table_join_stream(
-        stream_customers(spark, sf_dir), stream_orders(spark, sf_dir), "customer", "order", "value.customerId"
-    )
-    run_to_end(append_stream(joined, f"{folder}/table", f"{folder}/checkpoint"))
-    return flat_customer_orders(spark.read.parquet(f"{folder}/table"))
+    customers, orders = stream_customers(spark, sf_dir), stream_orders(spark, sf_dir)
+    run_to_end(table_join_log(customers, orders, "value.customerId", f"{folder}/log", f"{folder}/checkpoint"))
+    return flat_customer_orders(read_table_join(spark, f"{folder}/log", "customer", "order"))
 
 
 @query
 def stream_job_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statistics of the streaming job; in its one micro-batch nothing is late yet."""
+    """The statistics of the streaming job, with nothing taken as late."""
     configure(spark)
     folder = work_folder(spark)
-    job = jobs.customer_orders_stream(stream_customers(spark, sf_dir), stream_orders(spark, sf_dir))
+    job = jobs.customer_orders_stream(stream_customers(spark, sf_dir), stream_orders(spark, sf_dir), ALL_TIMES_MS)
     run_to_end(upsert_stream(job.stats, f"{folder}/table", f"{folder}/checkpoint"))
     totals = read_latest(spark, f"{folder}/table", ["key", "value.windowStart"])
     return flat_totals(totals, "orderCount", "totalAmount")
@@ -621,6 +635,36 @@ def stream_cache_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_cache_list(spark, f"{folder}/table").select("key", "position", "value.value")
 
 
+@query
+def stream_aggregate_into_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a stream into a key-value store, one entry per user and window."""
+    configure(spark)
+    folder = work_folder(spark)
+    totals = window_aggregate_stream(stream_events(spark, sf_dir), TOTALS, DAY_MS, ALL_TIMES_MS)
+    key = F.concat_ws("@", "key", F.col("value.windowStart").cast("string"))
+    cached = cache_stream(totals, key, f"{folder}/table", f"{folder}/checkpoint", order=["ts"], output_mode="update")
+    run_to_end(cached)
+    return flat_cached_totals(read_cache_set(spark, f"{folder}/table", order=["batch_id", "ts"]))
+
+
+@query
+def stream_join_into_cache_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a streaming join, landed as a topic, appended to one list per user by a second query."""
+    configure(spark)
+    folder, e = work_folder(spark), stream_events(spark, sf_dir)
+    clicks, purchases = filter_(e, "value.event_type = 'click'"), filter_(e, "value.event_type = 'purchase'")
+    pairs = interval_join_stream(
+        clicks, purchases, "left", "right", "key", TEN_MINUTES_MS, 5_000, disorder=ALL_TIMES_MS
+    )
+    picked = mapping(pairs, [("at", F.unix_millis("ts"))])
+    run_to_end(append_stream(picked, f"{folder}/pairs", f"{folder}/c1"))
+    land(spark.read.parquet(f"{folder}/pairs"), f"{folder}/topic")
+    landed = read_topic_files(spark, f"{folder}/topic", "at BIGINT", streaming=True)
+    run_to_end(cache_stream(landed, "key", f"{folder}/list", f"{folder}/c2", "LIST_APPEND"))
+    cached = read_cache_list(spark, f"{folder}/list")
+    return cached.select("key", "position", F.col("value.at").alias("ts_ms"))
+
+
 @query
 def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stream to two sinks: all orders, and the total per status."""
@@ -642,7 +686,7 @@ def _aggregate_checkpoint(spark: SparkSession, sf_dir: str) -> str:
     configure(spark)
     folder = work_folder(spark)
     # Windows far longer than the data stay open, so the state holds every key.
-    totals = window_aggregate_stream(stream_events(spark, sf_dir), TOTALS, 36_500 * DAY_MS, 5_000)
+    totals = window_aggregate_stream(stream_events(spark, sf_dir), TOTALS, ALL_TIMES_MS, 5_000)
     run_to_end(upsert_stream(totals, f"{folder}/table", f"{folder}/checkpoint"))
     return f"{folder}/checkpoint"
 

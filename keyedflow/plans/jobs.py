@@ -42,14 +42,17 @@ def customer_orders(customers: DataFrame, orders: DataFrame) -> CustomerOrders:
     return CustomerOrders(joined, stats)
 
 
-def customer_orders_stream(customers: DataFrame, orders: DataFrame) -> CustomerOrders:
-    """``customer_orders`` on streams; write ``joined`` in append and ``stats`` in update mode."""
+def customer_orders_stream(customers: DataFrame, orders: DataFrame, grace: int = STATS_GRACE_MS) -> CustomerOrders:
+    """``customer_orders`` on streams; write ``joined`` in append and ``stats`` in update mode.
+
+    Give a ``grace`` that covers the data when files of a backfill come in any time order.
+    """
     joined = table_join_stream(customers, orders, "customer", "order", "value.customerId")
     stats = window_aggregate_stream(
         orders,
         ORDER_STATS,
         STATS_WINDOW_MS,
-        STATS_GRACE_MS,
+        grace,
         group_mode="GROUP_BY",
         key_extractor="value.customerId",
     )

@@ -89,6 +89,10 @@ def event_table_join(key: str, order: str) -> str:
         WHERE l IS NOT NULL AND r IS NOT NULL"""
 
 
+PAIR_LISTS = f"""
+    SELECT key, row_number() OVER (PARTITION BY key ORDER BY ts_ms) - 1 AS position, ts_ms
+    FROM ({CLICK_PURCHASE})"""
+
 LAST_EVENT = f"""
     SELECT 'user:' || {USER} AS key, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value
     FROM events GROUP BY user_id"""
@@ -196,9 +200,13 @@ ORACLE: dict[str, str] = {
         SELECT {USER} AS key, event_type, value, arrival AS "offset", {MS} AS ts_ms FROM {SHUFFLED}""",
     "late_drop_aggregate": totals(SHUFFLED, USER, HOUR),
     "late_drop_updates": updates(SHUFFLED, USER, HOUR, "arrival"),
-    "join_into_cache_list": f"""
-        SELECT key, row_number() OVER (PARTITION BY key ORDER BY ts_ms) - 1 AS position, ts_ms
-        FROM ({CLICK_PURCHASE})""",
+    "join_into_cache_list": PAIR_LISTS,
+    "aggregate_into_cache": f"""
+        SELECT key, arg_max(n, ts_ms) AS n, arg_max(total, ts_ms) AS total, max(window_start) AS window_start
+        FROM ({totals("events", USER, DAY)}) days GROUP BY key""",
+    "stream_aggregate_into_cache": f"""
+        SELECT key || '@' || window_start AS key, n, total, window_start FROM ({totals("events", USER, DAY)}) days""",
+    "stream_join_into_cache_list": PAIR_LISTS,
     "updates_into_aggregate": f"""
         SELECT key, count(*) AS n, round(sum(right_value), 2) AS total, ts_ms - ts_ms % {DAY} AS window_start,
                ts_ms - ts_ms % {DAY} + {DAY} AS window_end, max(ts_ms) AS ts_ms

@@ -45,6 +45,13 @@ def join_grace(value: int | timedelta | None) -> int:
     return ms
 
 
+def disorder(value: int | timedelta) -> int:
+    ms = millis("disorder", value)
+    if ms < 0:
+        raise ValueError(f"disorder must not be negative, got {ms} ms")
+    return ms
+
+
 def join_sides(left_name: str, right_name: str, select_key, join_type: str | None) -> None:
     required("left_name", left_name)
     required("right_name", right_name)

@@ -7,14 +7,16 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from keyedflow import rules
 from keyedflow.functions.exprs import all_of, as_text
-from keyedflow.operators.joins import joined_value, record, tagged_arrivals
+from keyedflow.operators.joins import joined_value, paired_arrivals, record, tagged_arrivals
+from keyedflow.operators.skew import ROWS_PER_TASK
 
 
 def interval_join_stream(
@@ -28,21 +30,26 @@ def interval_join_stream(
     join_type: str | None = "INNER",
     strict: bool = True,
     salts: int = 1,
+    disorder: int | timedelta = 0,
 ) -> DataFrame:
     """``interval_join`` on two streams, in append mode; ``grace`` becomes the watermark delay.
 
+    ``disorder`` is added to the delay: how far a source hands its records out of time order,
+    such as files of a backfill that are read in any order. With one that covers the data, the
+    pairs don't depend on how it is cut into micro-batches.
+
     ``salts`` above 1 spreads every key over that many state partitions: left records go to
     one of them, right records to all. Put the busier stream on the left.
     """
     rules.join_sides(left_name, right_name, select_key, join_type)
-    window_ms, grace_ms = rules.join_window(window), rules.join_grace(grace)
+    window_ms, delay_ms = rules.join_window(window), rules.join_grace(grace) + rules.disorder(disorder)
     if salts < 1:
         raise ValueError(f"salts must be at least 1, got {salts}")
     left_salt = F.pmod(F.xxhash64("partition", "offset"), F.lit(salts)).cast("int")
     right_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))) if salts > 1 else F.lit(0)
 
     def side(df: DataFrame, name: str, salt: Column) -> DataFrame:
-        return df.withWatermark("ts", f"{grace_ms} milliseconds").select(
+        return df.withWatermark("ts", f"{delay_ms} milliseconds").select(
             as_text(df, select_key, strict).alias(f"{name}_key"),
             record().alias(f"{name}_record"),
             F.col("ts").alias(f"{name}_ts"),
@@ -139,6 +146,9 @@ def table_join_stream(
     state store. Records arrive by micro-batch and, within one, in ``order_by`` order. The
     rows of a key in one micro-batch are held by one task, so the sources must bound their
     micro-batches (``maxOffsetsPerTrigger`` and the like, which ``read_topic`` sets).
+
+    What pairs with what follows from when records arrive, as it does in any running table
+    join. ``table_join_log`` gives the same rows however the input is cut.
     """
     rules.join_sides(left_name, right_name, select_key, join_type)
     if order_by not in _ORDER:
@@ -172,3 +182,35 @@ def table_join_stream(
         "partition",
         "offset",
     )
+
+
+def table_join_log(
+    left: DataFrame,
+    right: DataFrame,
+    select_key: Column | str,
+    folder: str,
+    checkpoint: str,
+    strict: bool = True,
+) -> DataStreamWriter:
+    """Store the arrivals of both streams, keyed for the join; read them with ``read_table_join``.
+
+    Nothing is held in state or sorted, and the file sink commits each micro-batch once, so
+    what is read depends on the records alone, not on the micro-batches they came in.
+    """
+    rules.required("select_key", select_key)
+    rules.required("folder", folder)
+    writer = tagged_arrivals(left, right, select_key, strict).writeStream.format("parquet").option("path", folder)
+    return writer.option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def read_table_join(
+    spark: SparkSession,
+    folder: str,
+    left_name: str,
+    right_name: str,
+    order_by: str = "ts",
+    rows_per_chunk: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """The changelog of a ``table_join_log`` so far, with hot keys split as in ``table_join_changelog``."""
+    rules.join_sides(left_name, right_name, "key", "INNER")
+    return paired_arrivals(spark.read.parquet(folder), left_name, right_name, order_by, rows_per_chunk)

@@ -70,28 +70,44 @@ def read_latest(spark: SparkSession, folder: str, keys: Sequence[Column | str])
 
 
 def cache_stream(
-    df: DataFrame, key_expr: Column | str, folder: str, checkpoint: str, mode: str | None = "SET", strict: bool = True
+    df: DataFrame,
+    key_expr: Column | str,
+    folder: str,
+    checkpoint: str,
+    mode: str | None = "SET",
+    strict: bool = True,
+    order: Sequence[str] = ARRIVAL,
+    output_mode: str = "append",
 ) -> DataStreamWriter:
-    """Streaming ``cache_sink``; read the result with ``read_cache_set`` or ``read_cache_list``."""
+    """Streaming ``cache_sink``; read the result with ``read_cache_set`` or ``read_cache_list``.
+
+    Totals and join results have no arrival of their own. A SET cache takes another ``order``,
+    such as ``["ts"]`` for totals in update mode; a list needs the arrival that ``land`` gives.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
-    write, entries = batch_folder(folder), cache_entries(df, key_expr, strict)
+    if mode == "LIST_APPEND" and tuple(order) != ARRIVAL:
+        raise ValueError("a list is kept in arrival order; write join results with land() to get one")
+    write, entries = batch_folder(folder), cache_entries(df, key_expr, strict, order)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        write(latest_by_key(batch) if mode == "SET" else batch, batch_id)
+        write(latest_by_key(batch, order=order) if mode == "SET" else batch, batch_id)
+
+    return entries.writeStream.option("checkpointLocation", checkpoint).outputMode(output_mode).foreachBatch(write_batch)
 
-    return entries.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_batch)
 
+def read_cache_set(spark: SparkSession, folder: str, order: Sequence[str] = ARRIVAL) -> DataFrame:
+    """``key, value`` of a SET cache: the newest by ``order``, which must tell the records of a key apart.
 
-def read_cache_set(spark: SparkSession, folder: str) -> DataFrame:
-    """``key, value`` of a SET cache: the newest batch wins, then the newest arrival in it."""
-    rows = spark.read.parquet(folder)
-    return latest_by_key(rows, order=("batch_id", *ARRIVAL)).select("key", "value")
+    By arrival the result doesn't depend on micro-batches. For totals in update mode name
+    ``batch_id`` first: a later micro-batch replaces what an earlier one wrote.
+    """
+    return latest_by_key(spark.read.parquet(folder), order=order).select("key", "value")
 
 
 def read_cache_list(spark: SparkSession, folder: str, rows_per_chunk: int = ROWS_PER_TASK) -> DataFrame:
-    """``key, position, value`` of a LIST_APPEND cache: batch by batch, in arrival order."""
-    rows = spark.read.parquet(folder).withColumn("partition", F.struct("batch_id", "partition"))
+    """``key, position, value`` of a LIST_APPEND cache, in arrival order whatever the micro-batches."""
+    rows = spark.read.parquet(folder).drop("batch_id")
     entries = with_hot_offset_chunk(rows.withColumn("position", F.lit(1).cast("bigint")), ["key"], rows_per_chunk)
     counted = running(entries, ["key"], ARRIVAL, {"position": "sum"})
     return counted.select("key", (F.col("position") - 1).alias("position"), "value")
