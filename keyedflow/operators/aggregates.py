@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keyedflow import rules
 from keyedflow.functions.exprs import as_double, as_text, value_field
-from keyedflow.operators.running import running, with_hot_offset_chunk, with_offset_chunk
+from keyedflow.operators.running import running, with_hot_offset_chunk
 from keyedflow.operators.skew import ROWS_PER_TASK
 
 GROUP_MODES = ("GROUP_BY_KEY", "GROUP_BY")
@@ -119,7 +119,7 @@ def drop_late(
     size_ms, grace_ms = rules.window_size(size, "TUMBLING"), rules.window_grace(grace)
     rules.ordered(df, [by, "partition", "offset"])
     rules.batch("window_aggregate_stream, whose grace drops late records", df)
-    timed = with_offset_chunk(df.withColumn("_stream_time", F.unix_millis("ts")), rows_per_chunk)
+    timed = with_hot_offset_chunk(df.withColumn("_stream_time", F.unix_millis("ts")), [by], rows_per_chunk)
     seen = running(timed, [by], ["partition", "offset"], {"_stream_time": "max"})
     end = _window_start(size_ms) + size_ms
     return seen.where(end > F.col("_stream_time") - grace_ms).drop("_stream_time")

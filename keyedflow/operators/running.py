@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from keyedflow.operators.skew import hot_groups
 
 _CHUNK, _IS_ROW = "_chunk", "_is_row"
-_HOT_COLUMNS = ("_key_hash", "_lo", "_width", "_bin", "_bin_hash", "_crowded")
 
 
 def offset_chunk(rows_per_chunk: int) -> Column:
@@ -27,45 +26,60 @@ def offset_chunk(rows_per_chunk: int) -> Column:
     return F.struct(F.col("partition"), (offset - F.pmod(offset, F.lit(rows_per_chunk))).alias("first"))
 
 
-def with_offset_chunk(df: DataFrame, rows_per_chunk: int) -> DataFrame:
-    return df.withColumn(_CHUNK, offset_chunk(rows_per_chunk))
+def _binned(df: DataFrame, groups: Column, position: Column, name: str, rows_per_chunk: int) -> DataFrame:
+    """``df`` with the bin of each row of a hot group as column ``name``; null in other groups.
+
+    The span of ``position`` in a hot group is cut into as many equal bins as it has chunks
+    of rows (times four, to leave room for uneven spans), so bins follow the number of rows,
+    however far apart their positions are.
+    """
+    hot = hot_groups(df, groups, rows_per_chunk, {"_lo": F.min(position), "_hi": F.max(position)})
+    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(4 * F.col("_rows") / rows_per_chunk))
+    spans = hot.where(F.col("_hash").isNotNull()).select(
+        F.col("_hash").alias("_group"), F.col("_lo"), width.cast("bigint").alias("_width")
+    )
+    placed = df.withColumn("_group", groups).join(F.broadcast(spans), "_group", "left")
+    at = placed.withColumn("_at", position).withColumn(name, F.expr("(_at - _lo) div _width"))
+    return at.drop("_group", "_lo", "_width", "_at")
+
+
+def _bin_group(keys: Sequence[str], *bins: str) -> Column:
+    """Group of the rows of a key's bin; null, which is never hot, outside of hot groups."""
+    return F.when(F.col(bins[-1]).isNotNull(), F.xxhash64(*keys, *bins))
+
+
+def _crowded(df: DataFrame, groups: Column, rows_per_chunk: int) -> DataFrame:
+    """``df`` with ``_crowded`` true in groups that are still too large for a chunk."""
+    full = hot_groups(df.where(groups.isNotNull()), groups, rows_per_chunk)
+    marks = full.select(F.col("_hash").alias("_group"), F.lit(True).alias("_crowded"))
+    return df.withColumn("_group", groups).join(F.broadcast(marks), "_group", "left").drop("_group")
 
 
 def with_hot_offset_chunk(df: DataFrame, keys: Sequence[str], rows_per_chunk: int) -> DataFrame:
-    """Offset chunks for hot keys only; a key that is not hot stays whole (null chunk)."""
-    key_hash = F.xxhash64(*keys)
-    hot = hot_groups(df, key_hash, rows_per_chunk).select(F.col("_hash").alias("_key_hash"), F.lit(True).alias("_lo"))
-    marked = df.withColumn("_key_hash", key_hash).join(F.broadcast(hot), "_key_hash", "left")
-    chunk = F.when(F.col("_lo"), offset_chunk(rows_per_chunk))
-    return marked.withColumn(_CHUNK, chunk).drop(*_HOT_COLUMNS)
+    """Chunks in arrival order for hot keys only; a key that is not hot stays whole (null chunk).
+
+    A bin that gaps in the offsets leave too full is cut further, by offset alone.
+    """
+    binned = _binned(df, F.xxhash64(*keys), F.col("offset"), "_bin", rows_per_chunk)
+    marked = _crowded(binned, _bin_group(keys, "partition", "_bin"), rows_per_chunk)
+    fine = F.when(F.col("_crowded"), offset_chunk(rows_per_chunk))
+    chunk = F.when(F.col("_bin").isNotNull(), F.struct("partition", "_bin", fine.alias("fine")))
+    return marked.withColumn(_CHUNK, chunk).drop("_bin", "_crowded")
 
 
 def with_hot_time_chunk(df: DataFrame, keys: Sequence[str], rows_per_chunk: int) -> DataFrame:
     """Chunks that follow ``(ts, partition, offset)`` order, for hot keys only.
 
-    The time span of a hot key is cut into as many equal bins as it has chunks of rows
-    (times four, to leave room for uneven arrival). Bins that are still too full, such as
-    a burst or a backfill under one timestamp, are cut further by exact time and offset.
+    A bin of time that is too full, such as a burst or a backfill, is cut by time again; what
+    is then still too full, such as rows with one timestamp, is cut by exact time and offset.
     """
-    ms, key_hash = F.unix_millis("ts"), F.xxhash64(*keys)
-    span = hot_groups(df, key_hash, rows_per_chunk, {"_lo": F.min(ms), "_hi": F.max(ms)})
-    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(4 * F.col("_rows") / rows_per_chunk))
-    hot = span.select(F.col("_hash").alias("_key_hash"), "_lo", width.cast("bigint").alias("_width"))
-    binned = (
-        df.withColumn("_key_hash", key_hash)
-        .join(F.broadcast(hot), "_key_hash", "left")
-        .withColumn("_bin", F.expr("(unix_millis(ts) - _lo) div _width"))
-        .withColumn("_bin_hash", F.xxhash64("_key_hash", "_bin"))
-    )
-    crowded = hot_groups(binned.where(F.col("_bin").isNotNull()), F.col("_bin_hash"), rows_per_chunk)
-    marked = binned.join(
-        F.broadcast(crowded.select(F.col("_hash").alias("_bin_hash"), F.lit(True).alias("_crowded"))),
-        "_bin_hash",
-        "left",
-    )
+    ms = F.unix_millis("ts")
+    coarse = _binned(df, F.xxhash64(*keys), ms, "_bin", rows_per_chunk)
+    binned = _binned(coarse, _bin_group(keys, "_bin"), ms, "_fine_bin", rows_per_chunk)
+    marked = _crowded(binned, _bin_group(keys, "_bin", "_fine_bin"), rows_per_chunk)
     fine = F.when(F.col("_crowded"), F.struct("ts", offset_chunk(rows_per_chunk).alias("arrival")))
-    chunk = F.when(F.col("_bin").isNotNull(), F.struct("_bin", fine.alias("fine")))
-    return marked.withColumn(_CHUNK, chunk).drop(*_HOT_COLUMNS)
+    chunk = F.when(F.col("_bin").isNotNull(), F.struct("_bin", "_fine_bin", fine.alias("fine")))
+    return marked.withColumn(_CHUNK, chunk).drop("_bin", "_fine_bin", "_crowded")
 
 
 def _total(kind: str, name: str, order: Sequence[str]) -> Column:

@@ -512,7 +512,7 @@ def job_customer_orders_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def job_customer_orders_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    job = jobs.customer_orders(tables.customers(spark, sf_dir), tables.orders(spark, sf_dir))
+    job = jobs.customer_orders(tables.customers(spark, sf_dir), tables.orders_by_date(spark, sf_dir))
     return flat_totals(job.stats, "orderCount", "totalAmount")
 
 

@@ -213,10 +213,10 @@ ORACLE: dict[str, str] = {
         FROM ({event_table_join(USER, "(epoch_us(ts) // 1000), event_id")}) joined GROUP BY key, joined.ts_ms - joined.ts_ms % {DAY}""",
     "job_customer_orders_joined": CUSTOMER_ORDERS,
     "job_customer_orders_stats": updates(
-        on_time("orders", "o_orderkey", ORDER_DAYS, 60_000, 5_000),
+        on_time("orders", f"({ORDER_DAYS} // {DAY}) * (1::bigint << 44) + o_orderkey", ORDER_DAYS, 60_000, 5_000),
         "cast(o_custkey AS varchar)",
         60_000,
-        "o_orderkey",
+        "arrival",
         ORDER_DAYS,
         "o_totalprice",
         "\"orderCount\"",

@@ -47,6 +47,12 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_envelope(table(spark, sf_dir, "orders"))
 
 
+def orders_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that arrive day by day, and by number within a day."""
+    day = F.expr("unix_millis(ts) div 86400000")
+    return orders(spark, sf_dir).withColumn("offset", F.shiftleft(day, 44) + F.col("value.orderId"))
+
+
 def orders_envelope(df: DataFrame) -> DataFrame:
     value = F.struct(
         F.col("o_custkey").cast("string").alias("customerId"),
