@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from keyedflow import rules
 from keyedflow.functions.exprs import as_text
-from keyedflow.operators.skew import ROWS_PER_TASK, hot_groups, spread
+from keyedflow.operators.skew import hot_groups, spread
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Allowance per row on top of the text itself when a lookup is held as a hash table.
@@ -35,11 +35,11 @@ def _text_bytes(rows: DataFrame, params: list[str], targets: list[str]) -> int:
     return rows.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
 
 
-def _attach(records: DataFrame, first: DataFrame, params: list[str], small: bool, rows_per_task: int) -> DataFrame:
+def _attach(records: DataFrame, first: DataFrame, params: list[str], small: bool, rows_per_task: int | None) -> DataFrame:
     if small:
         return records.join(F.broadcast(first), params, "left")
-    if records.isStreaming:
-        # Rows cannot be counted ahead of a stream; its micro-batches are bounded instead.
+    if records.isStreaming or rows_per_task is None:
+        # Spark splits hot keys at run time, and on a stream it chooses the join for each micro-batch.
         return records.join(first, params, "left")
     # Records of a hot lookup key are spread over splits; its single lookup row is copied to each.
     group = F.xxhash64(*params)
@@ -79,7 +79,7 @@ def enrich_lookup(
     order_by: Sequence[str] = (),
     strict: bool = True,
     broadcast_bytes: int = BROADCAST_BYTES,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Add columns of the first matching lookup row to ``value``, as text; null when none matches.
 
@@ -88,8 +88,10 @@ def enrich_lookup(
     the same name. The first row is the smallest by ``order_by``, or by the copied columns
     when no order is given. With an empty ``on`` every record gets the first row.
 
-    The lookup is read as one snapshot. It is broadcast only after its size was measured
-    to be at most ``broadcast_bytes``; a larger one is joined by shuffle.
+    In batch the lookup is one snapshot. It is broadcast only after its size was measured to
+    be at most ``broadcast_bytes``; a larger one is joined by shuffle, where Spark's adaptive
+    skew join splits hot keys, or ``rows_per_task`` does by exact counts. On a stream Spark
+    decides by its own size limit (``spark.sql.autoBroadcastJoinThreshold``).
     """
     rules.required("lookup", lookup)
     rules.required("fields", list(fields))
@@ -109,6 +111,6 @@ def enrich_lookup(
         attached = df.withColumn("_found", rows.agg(first_row).scalar())
     else:
         records = df.withColumns({p: as_text(df, e, strict) for p, (e, _) in zip(params, on)})
-        small = _text_bytes(rows, params, targets) <= broadcast_bytes
+        small = not df.isStreaming and _text_bytes(rows, params, targets) <= broadcast_bytes
         attached = _attach(records, rows.groupBy(*params).agg(first_row), params, small, rows_per_task)
     return attached.withColumn("value", _with_fields(df, F.col("_found"), targets)).select(*df.columns)

@@ -106,7 +106,7 @@ def interval_join(
     grace: int | timedelta = 0,
     join_type: str | None = "INNER",
     strict: bool = True,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """All pairs with the same ``select_key`` text and timestamps at most ``window`` apart.
 
@@ -116,8 +116,9 @@ def interval_join(
     Time is cut into buckets, a right record goes into the one or two buckets it can match,
     and the equi-join runs on key and bucket, so a key with a long history is spread over
     many tasks. The right side is the one that is copied: put the smaller stream there. A
-    single bucket that is still too large on a side is split, with the other side's rows
-    copied to each split.
+    bucket that is still too large is split by Spark's adaptive skew join, on one side or
+    both, from the sizes of the shuffle. Where that is off, or one input task holds all of a
+    bucket, ``rows_per_task`` splits by exact counts instead, for more reads of the keys.
     """
     rules.join_sides(left_name, right_name, select_key, join_type)
     rules.batch("interval_join_stream", left, right)
@@ -130,12 +131,15 @@ def interval_join(
         )
     )
     lefts, rights = (_interval_side(df, select_key, strict) for df in (left, right))
-    splits = _splits(lefts, rights, at, reach, rows_per_task)
-    l = _with_split(lefts.withColumn("_bucket", at), splits, own="_left", other="_right").alias("l")
-    r = _with_split(rights.withColumn("_bucket", reach), splits, own="_right", other="_left").alias("r")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "_bucket", "_left_no", "_right_no")]
+    l, r, keys = lefts.withColumn("_bucket", at), rights.withColumn("_bucket", reach), ["key", "_bucket"]
+    if rows_per_task is not None:
+        splits = _splits(lefts, rights, at, reach, rows_per_task)
+        l = _with_split(l, splits, own="_left", other="_right")
+        r = _with_split(r, splits, own="_right", other="_left")
+        keys += ["_left_no", "_right_no"]
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in keys]
     near = F.abs(F.col("l.ms") - F.col("r.ms")) <= window_ms
-    return l.join(r, all_of([*same, near])).select(
+    return l.alias("l").join(r.alias("r"), all_of([*same, near])).select(
         F.col("l.key").alias("key"),
         joined_value(left_name, F.col("l.record"), right_name, F.col("r.record")).alias("value"),
         F.timestamp_millis(F.greatest("l.ms", "r.ms")).alias("ts"),

@@ -67,9 +67,9 @@ def flat_totals(df: DataFrame, count: str = "n", total: str = "total") -> DataFr
     )
 
 
-def of_type(df: DataFrame, event_type: str) -> DataFrame:
-    # Event types are never null, so the non-strict filter is exact and reaches the scan.
-    return filter_(df, f"value.event_type = '{event_type}'", strict=False)
+def clicks_and_others(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All events as two streams."""
+    return filter_(df, "value.event_type = 'click'"), filter_(df, "value.event_type <> 'click'")
 
 
 # Sources and sinks
@@ -205,7 +205,7 @@ def key_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.events(spark, sf_dir)
-    merged = merge(e, of_type(e, "click"))
+    merged = merge(e, clicks_and_others(e)[0])
     return merged.select("key", "value.event_type", "offset")
 
 
@@ -243,7 +243,7 @@ def flat_event_pairs(df: DataFrame, left: str = "left", right: str = "right") ->
 def interval_join_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.events(spark, sf_dir)
     return flat_event_pairs(
-        interval_join(of_type(e, "click"), of_type(e, "purchase"), "left", "right", "key", TEN_MINUTES_MS)
+        interval_join(*clicks_and_others(e), "left", "right", "key", TEN_MINUTES_MS)
     )
 
 
@@ -268,9 +268,13 @@ def interval_join_self(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def interval_join_few_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five keys hold all rows; buckets of time spread them."""
-    e = tables.events(spark, sf_dir)
-    return flat_event_pairs(interval_join(e, e, "left", "right", "value.event_type", 60_000))
+    """Five keys hold all events, which meet the totals of their type that end near them; buckets of time spread them."""
+    e = rekey(tables.events(spark, sf_dir), "value.event_type")
+    pairs = interval_join(e, window_aggregate(e, [Count("n")], HOUR_MS), "event", "hour", "key", TEN_MINUTES_MS)
+    event, hour = F.col("value.event.value"), F.col("value.hour.value")
+    return pairs.select(
+        "key", event["value"].alias("value"), hour["n"].alias("n"), hour["windowStart"].alias("window_start"), ts_ms()
+    )
 
 
 def flat_customer_orders(df: DataFrame) -> DataFrame:
@@ -308,7 +312,7 @@ def table_join_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_join_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.events(spark, sf_dir)
     return flat_event_pairs(
-        table_join_changelog(of_type(e, "click"), of_type(e, "purchase"), "left", "right", "key")
+        table_join_changelog(*clicks_and_others(e), "left", "right", "key")
     )
 
 
@@ -317,9 +321,7 @@ def table_join_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record has the same key, and both sides share one arrival sequence."""
     e = tables.events(spark, sf_dir)
     return flat_event_pairs(
-        table_join_changelog(
-            of_type(e, "click"), of_type(e, "purchase"), "left", "right", F.lit("all"), order_by="offset"
-        )
+        table_join_changelog(*clicks_and_others(e), "left", "right", F.lit("all"), order_by="offset")
     )
 
 
@@ -488,7 +490,7 @@ def late_drop_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_into_cache_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Join results, landed as a topic, appended to one list per user."""
     e = tables.events(spark, sf_dir)
-    pairs = interval_join(of_type(e, "click"), of_type(e, "purchase"), "left", "right", "key", TEN_MINUTES_MS)
+    pairs = interval_join(*clicks_and_others(e), "left", "right", "key", TEN_MINUTES_MS)
     folder = f"{work_folder(spark)}/topic"
     land(mapping(pairs, [("at", F.unix_millis("ts"))]), folder)
     cached = cache_list(read_topic_files(spark, folder, "at BIGINT"), "key")
@@ -499,7 +501,7 @@ def join_into_cache_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def updates_into_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A changelog feeding an aggregate counts every update again."""
     e = tables.events(spark, sf_dir)
-    joined = table_join_changelog(of_type(e, "click"), of_type(e, "purchase"), "left", "right", "key")
+    joined = table_join_changelog(*clicks_and_others(e), "left", "right", "key")
     picked = mapping(joined, [("value", "value.right.value.value")])
     return flat_totals(window_aggregate(picked, TOTALS, DAY_MS))
 
@@ -572,10 +574,9 @@ def stream_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     folder = work_folder(spark)
-    clicks = filter_(stream_events(spark, sf_dir), "value.event_type = 'click'")
-    purchases = filter_(stream_events(spark, sf_dir), "value.event_type = 'purchase'")
+    clicks, others = clicks_and_others(stream_events(spark, sf_dir))
     pairs = interval_join_stream(
-        clicks, purchases, "left", "right", "key", TEN_MINUTES_MS, 5_000, salts=2, disorder=ALL_TIMES_MS
+        clicks, others, "left", "right", "key", TEN_MINUTES_MS, 5_000, salts=2, disorder=ALL_TIMES_MS
     )
     run_to_end(topic_files_stream(pairs, f"{folder}/topic", f"{folder}/checkpoint"))
     landed = spark.read.parquet(f"{folder}/topic")
@@ -607,7 +608,7 @@ def stream_job_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_enrich_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateless operators on streams: filter, merge, rekey, mapping and enrich."""
     folder, e = work_folder(spark), stream_events(spark, sf_dir)
-    merged = merge(filter_(e, "value.event_type = 'click'"), filter_(e, "value.event_type = 'purchase'"))
+    merged = merge(*clicks_and_others(e))
     keyed = rekey(merged, "value.event_type")
     fields = [("user", "cast(get_json_object(value.props, '$.k') as bigint)"), ("kind", F.lit("x")), ("at", "offset")]
     enriched = enrich_lookup(
@@ -652,9 +653,8 @@ def stream_join_into_cache_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a streaming join, landed as a topic, appended to one list per user by a second query."""
     configure(spark)
     folder, e = work_folder(spark), stream_events(spark, sf_dir)
-    clicks, purchases = filter_(e, "value.event_type = 'click'"), filter_(e, "value.event_type = 'purchase'")
     pairs = interval_join_stream(
-        clicks, purchases, "left", "right", "key", TEN_MINUTES_MS, 5_000, disorder=ALL_TIMES_MS
+        *clicks_and_others(e), "left", "right", "key", TEN_MINUTES_MS, 5_000, disorder=ALL_TIMES_MS
     )
     picked = mapping(pairs, [("at", F.unix_millis("ts"))])
     run_to_end(append_stream(picked, f"{folder}/pairs", f"{folder}/c1"))

@@ -51,11 +51,11 @@ def interval_pairs(on: str, key: str, window: int, where: str = "true") -> str:
         WHERE {where}"""
 
 
-CLICK_PURCHASE = interval_pairs(
+CLICK_OTHER = interval_pairs(
     "l.user_id = r.user_id",
     "cast(l.user_id AS varchar)",
     600_000,
-    "l.event_type = 'click' AND r.event_type = 'purchase'",
+    "l.event_type = 'click' AND r.event_type <> 'click'",
 )
 
 CUSTOMER_ORDERS = """
@@ -83,15 +83,15 @@ def event_table_join(key: str, order: str) -> str:
         FROM (
             SELECT {key} AS key,
                    last_value(CASE WHEN event_type = 'click' THEN {held} END IGNORE NULLS) OVER w AS l,
-                   last_value(CASE WHEN event_type = 'purchase' THEN {held} END IGNORE NULLS) OVER w AS r
-            FROM events WHERE event_type IN ('click', 'purchase')
+                   last_value(CASE WHEN event_type <> 'click' THEN {held} END IGNORE NULLS) OVER w AS r
+            FROM events
             WINDOW w AS (PARTITION BY {key} ORDER BY {order} ROWS UNBOUNDED PRECEDING))
         WHERE l IS NOT NULL AND r IS NOT NULL"""
 
 
 PAIR_LISTS = f"""
     SELECT key, row_number() OVER (PARTITION BY key ORDER BY ts_ms) - 1 AS position, ts_ms
-    FROM ({CLICK_PURCHASE})"""
+    FROM ({CLICK_OTHER})"""
 
 LAST_EVENT = f"""
     SELECT 'user:' || {USER} AS key, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value
@@ -153,14 +153,17 @@ ORACLE: dict[str, str] = {
                coalesce(json_extract_string(props, '$.k'), '') AS text,
                coalesce(json_extract_string(props, '$.absent'), '') AS absent_text
         FROM events""",
-    "interval_join_events": CLICK_PURCHASE,
+    "interval_join_events": CLICK_OTHER,
     "interval_join_orders": f"""
         SELECT cast(a.o_custkey AS varchar) AS key, a.o_orderkey AS a_order, b.o_orderkey AS b_order,
                greatest((epoch_us(a.o_orderdate) // 1000), (epoch_us(b.o_orderdate) // 1000)) AS ts_ms
         FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey
          AND abs((epoch_us(a.o_orderdate) // 1000) - (epoch_us(b.o_orderdate) // 1000)) <= 600000""",
     "interval_join_self": interval_pairs("l.user_id = r.user_id", "cast(l.user_id AS varchar)", 600_000),
-    "interval_join_few_keys": interval_pairs("l.event_type = r.event_type", "l.event_type", 60_000),
+    "interval_join_few_keys": f"""
+        SELECT key, value, n, window_start, greatest(ms, ts_ms) AS ts_ms
+        FROM (SELECT event_type, value, {MS} AS ms FROM events) JOIN ({totals("events", "event_type", HOUR)})
+          ON event_type = key AND abs(ms - ts_ms) <= 600000""",
     "table_join_updates": CUSTOMER_ORDERS,
     "table_join_interleaved": event_table_join(USER, "(epoch_us(ts) // 1000), event_id"),
     "table_join_one_key": event_table_join("'all'", "event_id"),
@@ -231,12 +234,11 @@ ORACLE: dict[str, str] = {
     "stream_topic": f"""
         SELECT {USER} AS key, event_type, value, event_id AS "offset" FROM events WHERE value > 50""",
     "stream_aggregate": totals("events", USER, DAY),
-    "stream_interval_join": CLICK_PURCHASE,
+    "stream_interval_join": CLICK_OTHER,
     "stream_table_join": CUSTOMER_ORDERS,
     "stream_enrich_merge": f"""
         SELECT event_type AS key, {K} AS k, n_name AS kind, event_id AS at
-        FROM events LEFT JOIN nation ON n_nationkey = {K}
-        WHERE event_type IN ('click', 'purchase')""",
+        FROM events LEFT JOIN nation ON n_nationkey = {K}""",
     "stream_cache_set": LAST_EVENT,
     "stream_cache_list": EVENT_LISTS,
     "stream_fan_out": """
