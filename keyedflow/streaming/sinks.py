@@ -69,6 +69,29 @@ def read_latest(spark: SparkSession, folder: str, keys: Sequence[Column | str])
     return latest_by_key(rows, "_key", ["batch_id"]).drop("_key", "batch_id")
 
 
+def compact(
+    spark: SparkSession, folder: str, through: int, keys: Sequence[Column | str] = ("key",), order: Sequence[str] = ("batch_id",)
+) -> None:
+    """Merge the micro-batches up to ``through`` into that one: the newest row of each key.
+
+    For the folders of ``upsert_stream`` (name the ``keys`` that ``read_latest`` is given) and of
+    SET caches (name the ``order`` that ``read_cache_set`` is given); a list keeps every row.
+    ``through`` must be older than the stream's last micro-batch, which may be replayed. Merged
+    rows are added before older folders go, and a row that is there twice changes nothing for
+    these readers, so a compaction that was stopped can be run again. Readers that have
+    listed the folder before may miss files and must read again.
+    """
+    rows = spark.read.parquet(folder).where(F.col("batch_id") <= through).withColumn("_key", F.struct(*keys))
+    newest = latest_by_key(rows, "_key", order).drop("_key", "batch_id")
+    newest.write.mode("append").parquet(f"{folder}/batch_id={through}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(path):
+        kind, _, batch_id = found.getPath().getName().partition("=")
+        if kind == "batch_id" and int(batch_id) < through:
+            files.delete(found.getPath(), True)
+
+
 def cache_stream(
     df: DataFrame,
     key_expr: Column | str,
