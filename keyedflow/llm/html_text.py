@@ -6,7 +6,8 @@ vectors) form an equivalence class. The class that every page has once is the sk
 host's template; other classes are valid where they nest in it: every element's parent is part
 of the template. What the template leaves open are its slots. Slots in menus, headers, footers,
 sidebars, notices, adverts, forms and comments are dropped, as is text that is itself part of
-the skeleton; the remaining slots are extracted.
+the skeleton; the remaining slots are extracted. Outside articles, slots that hold mostly links
+are lists of links, and dropped on the pages where they do; headlines are not.
 
 Vectors are never gathered: a vector is told by the XOR of a hash of each page and its count,
 so a host with a third of all pages is counted like any other, before anything is shuffled.
@@ -51,6 +52,7 @@ NAMES = set(
     "search toolbar pagination pager hidden".split()
 )
 ARTICLE = {"article", "main"}
+HEADLINES = {"h1", "h2", "h3", "h4", "h5", "h6"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose start or end tag may be missing: a start closes these if they are open.
@@ -63,6 +65,8 @@ TAG = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+HREF = re.compile(r"\bhref\s*=", re.I)
+NEXT_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 PART = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
 
@@ -93,22 +97,34 @@ class Page:
         self.blocks: list[tuple[str, str, int, bool]] = []
         self._stack: list[tuple[str, str, bool, bool]] = []  # tag, path, dropped, inside an article
         self._text: list[str] = []
-        self._links, self._linked = 0, 0
+        self._linked = 0
+        self._link, self._link_depth, self._link_ends = False, 0, True  # open, elements around it, has an end tag
         at = 0
         for found in TAG.finditer(markup):
             if found.start() > at:
                 self._add(markup[at : found.start()])
             at = found.end()
             if found[3]:
-                self._tag(found[3].lower(), found[2] == "/", found[4])
+                tag, closing = found[3].lower(), found[2] == "/"
+                if tag == "a":
+                    self._anchor(not closing and HREF.search(found[4]) is not None, markup, at)
+                else:
+                    self._tag(tag, closing, found[4])
         if at < len(markup):
             self._add(markup[at:])
         self._flush()
 
+    def _anchor(self, link: bool, markup: str, at: int) -> None:
+        """A link may hold blocks; one without an end tag ends with its block."""
+        self._link, self._link_depth = link, len(self._stack)
+        if link:
+            following = NEXT_LINK.search(markup, at)
+            self._link_ends = following is not None and following[1] == "/"
+
     def _add(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         self._text.append(text)
-        if self._links:
+        if self._link:
             self._linked += len(text.strip())
 
     def _flush(self) -> None:
@@ -118,27 +134,31 @@ class Page:
                 _, path, dropped, _ = self._stack[-1] if self._stack else ("", "", False, False)
                 self.blocks.append((path, text, min(self._linked, len(text)), dropped))
             self._text, self._linked = [], 0
+        self._link = self._link and self._link_ends
+
+    def _close(self, i: int) -> None:
+        del self._stack[i:]
+        if i < self._link_depth:
+            self._link = False
 
     def _pop(self, tags: set[str], stop: set[str] = frozenset()) -> None:
         """Close the last open element of ``tags`` and all within it, unless one of ``stop`` is nearer."""
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i][0] in tags:
-                del self._stack[i:]
+                self._close(i)
                 return
             if self._stack[i][0] in stop:
                 return
 
     def _tag(self, tag: str, closing: bool, attributes: str) -> None:
         if tag in INLINE:
-            if tag == "a":
-                self._links = 0 if closing else 1
             return
         self._flush()
         if closing:
             self._pop({tag})
             return
         if tag not in KEEPS_P_OPEN and self._stack and self._stack[-1][0] == "p":
-            self._stack.pop()
+            self._close(len(self._stack) - 1)
         if tag in CLOSES:
             self._pop(CLOSES[tag], {"ul", "ol", "dl", "table", "select"})
         if tag == "body":
@@ -172,8 +192,20 @@ def tokens(page: Page) -> Iterator[tuple[str, str, int, int, int, bool]]:
         yield path, text, count, 0, 0, dropped[path]
 
 
+def _tag_of(path: str) -> str:
+    return path.rsplit("/", 1)[-1].partition(".")[0]
+
+
 def _is_article(path: str) -> bool:
-    return path.rsplit("/", 1)[-1].partition(".")[0] in ARTICLE
+    return _tag_of(path) in ARTICLE
+
+
+def _within(path: str, regions: list[str]) -> bool:
+    return any(path == r or path.startswith(r + "/") for r in regions)
+
+
+def _in_headline(path: str) -> bool:
+    return any(part.partition(".")[0] in HEADLINES for part in path.split("/"))
 
 
 def deduce(found: pd.DataFrame) -> dict:
@@ -191,10 +223,12 @@ def deduce(found: pd.DataFrame) -> dict:
                 template |= by_vector.pop(vector)
                 grown = True
     slots = elements[elements["path"].isin(template) & (elements["chars"] > 0) & ~elements["dropped"]]
+    region = sorted(p for p in template if _is_article(p))
+    articles = [p for p in region if not any(r.startswith(p + "/") for r in region)]
     lists = slots[slots["linked"] > LINKED * slots["chars"]]["path"]
+    lists = [p for p in lists if not _within(p, articles) and not _in_headline(p)]
     slots = slots[~slots["path"].isin(lists)]
-    region = sorted(p for p in template if _is_article(p))
-    region = [p for p in region if any(s == p or s.startswith(p + "/") for s in slots["path"])]
+    region = [p for p in region if any(_within(s, [p]) for s in slots["path"])]
     fixed = []
     if not region:
         # The smallest container that has most of what the slots hold.
@@ -212,11 +246,14 @@ def deduce(found: pd.DataFrame) -> dict:
 def main_text(page: Page, template: dict | None) -> str:
     kept = [(path, text) for path, text, _, dropped in page.blocks if not dropped]
     if template:
-        lists, fixed = set(template["lists"]), set(template["fixed"])
-        kept = [(p, t) for p, t in kept if p not in lists and not (fixed and _hash(p, t) in fixed)]
+        fixed, held = set(template["fixed"]), dict.fromkeys(template["lists"], 0.0)
+        for path, text, linked, _ in page.blocks:
+            if path in held:
+                held[path] += linked - LINKED * len(text)
+        kept = [(p, t) for p, t in kept if held.get(p, 0.0) <= 0 and not (fixed and _hash(p, t) in fixed)]
     regions = [r for r in (template or {}).get("region", []) if r in page.elements] or [p for p in page.elements if _is_article(p)]
     if regions:
-        inside = [t for p, t in kept if any(p == r or p.startswith(r + "/") for r in regions)]
+        inside = [t for p, t in kept if _within(p, regions)]
         if inside:
             return " ".join(inside)
     return " ".join(t for _, t in kept)

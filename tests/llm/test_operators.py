@@ -293,6 +293,34 @@ def test_template_without_article(spark):
         assert html_text.main_text(html_text.Page(markup), None) == text
 
 
+def extracted(spark, bodies: list[str]) -> list[str]:
+    rows = [(i, f"http://h.org/{i}", f"<html><body>{body}</body></html>") for i, body in enumerate(bodies)]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id")
+    return [r.text for r in found.collect()]
+
+
+def test_links_in_articles_are_text(spark):
+    article = "<article><h1><a href=/{0}>Title {0}</a></h1><p>text of page {0}<ol><li><a href=/s{0}>Source {0}</a></ol></article>"
+    menu = "<div><a href=/{0}>Elsewhere {0}</a></div>"
+    bodies = [(menu + article).format(i) for i in range(5)] + ["<article><h1>Title 5</h1><ol><li>Unlinked 5</ol></article>"]
+    expected = [f"Title {i} text of page {i} Source {i}" for i in range(5)] + ["Title 5 Unlinked 5"]
+    assert extracted(spark, bodies) == expected
+    # Without an article: headlines stay, and a list where it has no links.
+    post = "<div><h2><a href=/{0}>Title {0}</a></h2><p>a long text of page {0}, and more of it<ul><li>{1}</ul></div>"
+    links = ["<a href=/n>Next to {0}</a>"] * 5 + ["Plain {0}"]
+    expected = [f"Title {i} a long text of page {i}, and more of it" + " Plain 5" * (i == 5) for i in range(6)]
+    assert extracted(spark, [post.format(i, links[i].format(i)) for i in range(6)]) == expected
+
+
+def test_a_link_without_an_end_tag_ends_with_its_block(spark):
+    for start in ("<a name=top>", "<a href=/top>", "<p><a href=/top>"):
+        body = start + "<div><h2>Title {0}</h2><p>text of page {0}</div>"
+        assert extracted(spark, [body.format(i) for i in range(5)]) == [f"Title {i} text of page {i}" for i in range(5)]
+    linked = lambda markup: [(t, n) for _, t, n, _ in html_text.Page(markup).blocks]
+    assert linked("<a href=x><h3>ab</h3><p>cd</p></a>ef") == [("ab", 2), ("cd", 2), ("ef", 0)]
+    assert linked("<ul><li><a href=x>ab<li>cd</a><li>ef</ul>") == [("ab", 2), ("cd", 0), ("ef", 0)]
+
+
 def components_by_force(rows: list[tuple]) -> dict:
     sets = []
     for doc_id, text in rows:
