@@ -4,15 +4,17 @@ A text is cut into paragraphs, each hashed to a 64-bit digest. A sketch has thre
 cells; a digest goes to one cell of each, which holds the number of its digests and the XOR of
 the digests and of their check values. Two sketches subtract cell by cell, so that what the
 texts share is gone; peeling cells that hold a single digest gives back the digests in which
-the texts differ. If that gets stuck, it is tried again with three times the cells and other
-hashes. All of it is DataFrame expressions within a row.
+the texts differ. If that gets stuck, or a sample of the digests shows that it would, the digests
+are dealt by their bits to WAYS sketches, and so on, so the cells grow with the number of digests
+that differ. All of it is DataFrame expressions within a row.
 
-Paragraphs are runs of whole lines, cut where they grow long. Their size follows the text's
-(between a 16th and a quarter of it), so every sketch is bounded, however long the text is; two
-texts are compared at the coarser of their two sizes.
+Paragraphs are lines. Lines above LINE code points are cut at sentence ends, else at white space,
+else behind some of the letters, at least PIECE code points after the last cut: places that the
+text itself tells, so that an insertion changes the paragraphs around it and no others. Without
+any such place within SEARCH code points, the cut is there. No size follows the text's length.
 
-Defined results: null texts count as empty. An empty text has an empty sketch; two empty texts
-are alike (1), an empty and another are not (0). The next document is the one with the next
+Defined results: null texts count as empty, empty lines as no paragraphs. A text without
+paragraphs has an empty sketch; two of them are alike (1), such a text and another are not (0). The next document is the one with the next
 larger id (null ids come first, and after the last comes the first); of rows that share an
 id, the one whose text has the smallest hash stands for it. Repeated rows get equal results.
 """
@@ -26,24 +28,30 @@ from keyedflow.llm.common import in_order, store, table, text_of
 
 TABLES = 3
 CELLS = 24
-#: Numbers of cells to try; 16 paragraphs a text need about 40 for any difference.
-SIZES = tuple(CELLS * 3**i for i in (0, 1, 3, 5))
 ROUNDS = 16
-#: Shortest paragraph in code points, and paragraphs of a text (up to twice as many).
-SHORTEST, PARAGRAPHS = 8, 8
-
-
-def unit(n: Column) -> Column:
-    """Least length of a paragraph in a text of ``n`` code points."""
-    power = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")))).cast("long")
-    return F.greatest(F.lit(SHORTEST).cast("long"), F.floor(power / PARAGRAPHS))
+#: Sketches that the digests of one are dealt to, and how often at most; these take 60 bits, the
+#: other 4 choose the sample. A sample with MANY digests that differ stands for too many to peel.
+WAYS_BITS, LEVELS, SAMPLE_BITS, MANY = 2, 30, 4, 4
+WAYS = 1 << WAYS_BITS
+#: Code points: the longest line that stays whole, the least of a piece, and the most.
+LINE, PIECE, SEARCH = 64, 32, 256
+#: Some letters of every script, for lines without white space.
+LETTERS = "aeiouAEIOU048" + "".join(f"\\x{{{c:X}}}-\\x{{{c + 31:X}}}" for c in range(0xA0, 0x10000, 256) if not 0xD800 <= c < 0xE000)
+_UP_TO = f"[^\\r\\n]{{{PIECE - 1},{SEARCH - 1}}}?"
+PARAGRAPH = "|".join(
+    (
+        f"[^\\r\\n]{{1,{LINE}}}+(?![^\\r\\n])",
+        _UP_TO + "(?:[.!?;\u2026][\"')\\]\u00bb\u201d\u2019]*+[ \\t]++|[\u3002\uff01\uff1f\uff1b])",
+        _UP_TO + "[ \\t]++",
+        _UP_TO + f"[{LETTERS}]",
+        f"[^\\r\\n]{{1,{SEARCH}}}",
+    )
+)
 
 
-def digests(text: Column, least: Column) -> Column:
-    """Distinct digests of the paragraphs, which have at least ``least`` code points where lines allow."""
-    at_least, more = least.cast("string"), (least - 1).cast("string")
-    pattern = F.concat(F.lit("(?s).{1,"), at_least, F.lit("}[^\\n]{0,"), more, F.lit("}\\n?"))
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda p: F.xxhash64(p)))
+def digests(text: Column) -> Column:
+    """Distinct digests of the paragraphs."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
 def _placed(items: Column, cells: int) -> Column:
@@ -151,10 +159,64 @@ def peel(difference: Column, cells: int) -> Column:
     return _once(end, lambda s: F.when(~left_over(s), s["found"]))
 
 
+def _too_many(left: Column, right: Column) -> Column:
+    """Whether a sample says that far more digests differ than a sketch gives back."""
+    sample = lambda keys: F.filter(keys, lambda k: F.shiftrightunsigned(k, 64 - SAMPLE_BITS) == 0)
+    differ = _once(
+        F.struct(sample(left).alias("l"), sample(right).alias("r")),
+        lambda s: F.size(F.array_except(s["l"], s["r"])) + F.size(F.array_except(s["r"], s["l"])),
+    )
+    return (F.size(left) + F.size(right) > MANY << SAMPLE_BITS) & (differ >= MANY)
+
+
+def _dealt(part: Column, level: Column) -> Column:
+    """The digests of both sides by the bits of this level, without those that nobody has."""
+
+    def of(keys: Column, way: Column) -> Column:
+        return F.filter(keys, lambda k: F.call_function("shiftrightunsigned", k, level * WAYS_BITS).bitwiseAND(F.lit(WAYS - 1)) == way)
+
+    ways = F.sequence(F.lit(0), F.lit(WAYS - 1))
+    parts = F.transform(ways, lambda w: F.struct(of(part["left"], w).alias("left"), of(part["right"], w).alias("right")))
+    return F.filter(parts, lambda p: F.size(p["left"]) + F.size(p["right"]) > 0)
+
+
 def differing(left: Column, right: Column) -> Column:
-    """Digests that only one of two digest arrays has, from their sketches; larger ones on failure."""
-    # coalesce stops at the first that is not null, so larger sketches are made on failure only.
-    return F.coalesce(*[peel(subtract(sketch(left, m), sketch(right, m)), m) for m in SIZES])
+    """Digests that only one of two digest arrays has, from their sketches; from more of them on failure."""
+
+    def tried(part: Column) -> Column:
+        found = peel(subtract(sketch(part["left"]), sketch(part["right"])), CELLS)
+        return F.struct(
+            part["left"].alias("left"), part["right"].alias("right"),
+            F.when(~_too_many(part["left"], part["right"]), found).alias("found"),
+        )
+
+    def turn(state: Column, level: Column) -> Column:
+        return _once(
+            F.transform(state["parts"], tried),
+            lambda parts: F.struct(
+                F.flatten(F.transform(F.filter(parts, lambda p: p["found"].isNull()), lambda p: _dealt(p, level))).alias("parts"),
+                F.concat(
+                    state["found"],
+                    F.flatten(F.transform(F.filter(parts, lambda p: p["found"].isNotNull()), lambda p: p["found"])),
+                ).alias("found"),
+            ),
+        )
+
+    def signed(keys: Column, sign: int) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(sign).alias("n"), k.alias("key"), check(k).alias("check")))
+
+    def rest(part: Column) -> Column:
+        # Digests that agree in all dealt bits.
+        return F.concat(
+            signed(F.array_except(part["left"], part["right"]), 1), signed(F.array_except(part["right"], part["left"]), -1)
+        )
+
+    start = F.struct(
+        F.array(F.struct(left.alias("left"), right.alias("right"))).alias("parts"), F.slice(signed(left, 1), 1, 0).alias("found")
+    )
+    # Levels after the last that is needed have no parts.
+    end = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, turn)
+    return _once(end, lambda s: F.concat(s["found"], F.flatten(F.transform(s["parts"], rest))))
 
 
 def likeness(left: Column, right: Column) -> Column:
@@ -183,53 +245,39 @@ def neighbours(df: DataFrame) -> DataFrame:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, text, edited text, their digests at the common sizes, and those of the next document."""
+    """Id, length, edited text, the digests of the text and of the edited, and those of the next document."""
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     around = neighbours(rows)
     # The texts are dealt by id twice alike, so that one exchange serves both uses.
     placed = rows.join(around, rows["id"].eqNullSafe(around["id"])).drop(around["id"])
 
-    n = F.char_length("text")
-    own = unit(n)
     # Not as an equality, which would become a join key and deal the texts by id and hash.
     stands = F.xxhash64("text").bitwiseXOR(F.col("own.hash")) == 0
     head = placed.where(stands).select(
         F.col("prev_id").alias("head_id"),
         F.left("text", F.floor(F.col("prev_n") / 4).cast("int")).alias("head"),
-        digests(F.col("text"), F.greatest(own, unit(F.col("prev_n")))).alias("next_digests"),
-        own.alias("next_unit"),
+        digests(F.col("text")).alias("next_digests"),
     )
     if around.agg(F.max("rows")).first()[0] not in (None, 1):
         head = head.dropDuplicates(["head_id"])
-    n, own = F.col("n"), unit(F.col("n"))
+    n = F.col("n")
     moved = F.floor(n / 4).cast("int")
     joined = rows.join(head, rows["id"].eqNullSafe(head["head_id"])).withColumn("n", F.char_length("text"))
     cut = joined.withColumn("edited", F.concat(F.left("text", n - moved), F.left("head", moved)))
-    cut = cut.withColumn("edited_unit", unit(F.char_length("edited")))
     return cut.select(
-        "id", "text", "n", "edited",
-        digests(F.col("text"), own).alias("digests"),
-        digests(F.col("edited"), F.col("edited_unit")).alias("edited_digests"),
-        own.alias("unit"), "edited_unit", "next_unit", "next_digests",
+        "id", "n", "edited", digests(F.col("text")).alias("digests"), digests(F.col("edited")).alias("edited_digests"), "next_digests"
     )
 
 
 def compared(prints: DataFrame) -> DataFrame:
-    unit_, edited_unit, next_unit = F.col("unit"), F.col("edited_unit"), F.col("next_unit")
-    at_edited = F.greatest(unit_, edited_unit)
     return prints.select(
         F.col("id").alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("digests")).alias("fingerprint"),
         as_text(F.col("edited_digests")).alias("edited_fingerprint"),
-        likeness(
-            F.when(unit_ == at_edited, F.col("digests")).otherwise(digests(F.col("text"), at_edited)),
-            F.when(edited_unit == at_edited, F.col("edited_digests")).otherwise(digests(F.col("edited"), at_edited)),
-        ).alias("near_edited"),
-        likeness(
-            F.when(unit_ >= next_unit, F.col("digests")).otherwise(digests(F.col("text"), next_unit)), F.col("next_digests")
-        ).alias("near_next"),
+        likeness(F.col("digests"), F.col("edited_digests")).alias("near_edited"),
+        likeness(F.col("digests"), F.col("next_digests")).alias("near_next"),
     )
 
 

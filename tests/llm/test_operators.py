@@ -154,6 +154,26 @@ def test_fingerprints(spark, data):
     assert np.mean([r.near_edited > r.near_next for r in got if r.n_chars > 100]) > 0.9
 
 
+def test_paragraphs_of_long_texts_are_shared(spark):
+    rnd = random.Random(6)
+    word = lambda alphabet: "".join(rnd.choices(alphabet, k=rnd.randint(2, 9)))
+    prose = lambda n, join, end: "".join(word("abcdefgh") + (end if rnd.random() < 0.1 else join) for _ in range(n))
+    cjk = "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(9000))
+    lines = [prose(9, " ", ", ") for _ in range(1500)]
+    texts = ["\n".join(lines), "\r\n".join(lines), prose(9000, " ", ". "), prose(9000, " ", ", "), prose(9000, "", ""), cjk]
+    rows = [(i, t, "New. " + t[:200] + "more" + t[200:]) for i, t in enumerate(texts)]
+    a, b = fingerprints.digests(F.col("a")), fingerprints.digests(F.col("b"))
+    df = spark.createDataFrame(rows, "i int, a string, b string").select(a.alias("a"), b.alias("b"), "i")
+    rows = df.select("i", "a", "b", fingerprints.likeness(F.col("a"), F.col("b")).alias("l")).collect()
+    for r in rows:
+        x, y = set(r.a), set(r.b)
+        assert len(x) > 100 and r.l == pytest.approx(len(x & y) / len(x | y)) and r.l > 0.9, r.i
+    # A short text within a long one, and the same lines whatever ends them.
+    own = {r.i: set(r.a) for r in rows}
+    part = spark.createDataFrame([("\n".join(lines[700:720]),)], "t string").select(fingerprints.digests(F.col("t"))).first()[0]
+    assert set(part) <= own[0] == own[1]
+
+
 def test_warc(spark, data):
     first = {}
     for page_id, _, html in pages():
