@@ -6,7 +6,11 @@ vectors) form an equivalence class. The class that every page has once is the sk
 host's template; other classes are valid where they nest in it: every element's parent is part
 of the template. What the template leaves open are its slots. Slots in menus, headers, footers,
 sidebars, notices, adverts, forms and comments are dropped, as is text that is itself part of
-the skeleton; the remaining slots are extracted. Outside articles, slots that hold mostly links
+the template; the remaining slots are extracted. In articles, and in classes other than the
+skeleton, that is text whose element is of the same class, so that the element never holds
+another: a paragraph like others that many pages share is main text. Pages keep all of their
+text if they would have none, or lose most to classes other than the skeleton, or if such shared
+paragraphs are most of what they have: these are copies of each other. Outside articles, slots that hold mostly links
 are lists of links, and dropped on the pages where they do; headlines are not.
 
 Vectors are never gathered: a vector is told by the XOR of a hash of each page and its count,
@@ -229,7 +233,12 @@ def deduce(found: pd.DataFrame) -> dict:
     lists = [p for p in lists if not _within(p, articles) and not _in_headline(p)]
     slots = slots[~slots["path"].isin(lists)]
     region = [p for p in region if any(_within(s, [p]) for s in slots["path"])]
-    fixed = []
+    # Text of the template: of the class that its element has, and all of the skeleton outside articles.
+    texts = found[found["text"] != ""]
+    whole = texts["path"].map(dict(zip(elements["path"], elements["vector"]))) == texts["vector"]
+    fixed = texts[(texts["vector"] == skeleton) & (whole | (not region))]["text"]
+    copied = texts[(texts["vector"] == skeleton) & ~texts["text"].isin(fixed)]["text"]
+    shared = texts[(texts["vector"] != skeleton) & whole & texts["path"].isin(template) & (texts["pages"] >= MIN_PAGES)]["text"]
     if not region:
         # The smallest container that has most of what the slots hold.
         total, best = slots["chars"].sum(), ""
@@ -238,24 +247,31 @@ def deduce(found: pd.DataFrame) -> dict:
             if total and slots.loc[inside, "chars"].sum() > 0.8 * total and path.startswith(best) and not path.endswith("/p"):
                 best = path
         region = [best] if best else []
-        texts = found[(found["text"] != "") & (found["vector"] == skeleton)]
-        fixed = sorted(texts["text"])
-    return {"region": region, "lists": sorted(lists), "fixed": fixed}
+    return {"region": region, "lists": sorted(lists), "fixed": sorted(fixed), "copied": sorted(copied), "shared": sorted(shared)}
+
+
+def _without(blocks: list[tuple[str, str]], texts: set[str], least: float) -> list[tuple[str, str]]:
+    """The blocks that are not in ``texts``; all, if no more than a share ``least`` would be left."""
+    own = [(p, t) for p, t in blocks if _hash(p, t) not in texts] if texts else blocks
+    return own if sum(len(t) for _, t in own) > least * sum(len(t) for _, t in blocks) else blocks
 
 
 def main_text(page: Page, template: dict | None) -> str:
     kept = [(path, text) for path, text, _, dropped in page.blocks if not dropped]
     if template:
-        fixed, held = set(template["fixed"]), dict.fromkeys(template["lists"], 0.0)
+        held = dict.fromkeys(template["lists"], 0.0)
         for path, text, linked, _ in page.blocks:
             if path in held:
                 held[path] += linked - LINKED * len(text)
-        kept = [(p, t) for p, t in kept if held.get(p, 0.0) <= 0 and not (fixed and _hash(p, t) in fixed)]
+        kept = [(p, t) for p, t in kept if held.get(p, 0.0) <= 0]
     regions = [r for r in (template or {}).get("region", []) if r in page.elements] or [p for p in page.elements if _is_article(p)]
     if regions:
-        inside = [t for p, t in kept if _within(p, regions)]
-        if inside:
-            return " ".join(inside)
+        kept = [(p, t) for p, t in kept if _within(p, regions)] or kept
+    if template:
+        own, copied = _without(kept, set(template["fixed"]), 0), set(template["copied"])
+        if 2 * sum(len(t) for p, t in own if copied and _hash(p, t) in copied) <= sum(len(t) for _, t in own):
+            kept = own
+        kept = _without(kept, set(template["shared"]), 0.5)
     return " ".join(t for _, t in kept)
 
 

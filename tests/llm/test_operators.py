@@ -341,6 +341,20 @@ def test_a_link_without_an_end_tag_ends_with_its_block(spark):
     assert linked("<ul><li><a href=x>ab<li>cd</a><li>ef</ul>") == [("ab", 2), ("cd", 0), ("ef", 0)]
 
 
+def test_text_of_the_template_in_articles(spark):
+    notice = "<div class=x1>Write to us</div>"
+    article = "<article><h1>Title {0}</h1><p>text of page {0}<p>more text of page {0}{1}</article>"
+    expected = [f"Title {i} text of page {i} more text of page {i}" for i in range(8)]
+    assert extracted(spark, [article.format(i, notice) for i in range(8)]) == expected
+    # A notice of some pages only.
+    assert extracted(spark, [article.format(i, notice if i < 5 else "") for i in range(8)]) == expected
+    # Also without an article, and pages that are copies keep their text.
+    post = "<div class=post><h2>Title {0}</h2><p>text of page {0}<p>more text of page {0}{1}</div>"
+    assert extracted(spark, [post.format(i, notice if i < 5 else "") for i in range(8)]) == expected
+    assert extracted(spark, [article.format(0 if i < 5 else i, "") for i in range(8)]) == [expected[0 if i < 5 else i] for i in range(8)]
+    assert extracted(spark, [article.format(0, "")] * 5) == [expected[0]] * 5
+
+
 def components_by_force(rows: list[tuple]) -> dict:
     sets = []
     for doc_id, text in rows:
