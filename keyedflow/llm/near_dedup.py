@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from keyedflow.llm.common import store, table, text_of
 from keyedflow.llm.components import components
 
-WIDTH = 4
+#: Words of a shingle: of op9, and of near-duplicate stages.
+WIDTH, STAGE_WIDTH = 4, 5
 BANDS, ROWS = 30, 5
 SIZE = BANDS * ROWS
 #: A link has 100 * intersection >= PERCENT * union.
@@ -89,17 +90,17 @@ def _word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     return [hashes[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
     """The sorted hashes of every text's distinct shingles."""
     for own in _chunks([t.encode("utf-8", "surrogatepass").lower() for t in texts]):
         for words in _word_hashes(own):
             n = len(words)
             if n == 0:
                 yield words
-            elif n < WIDTH:
+            elif n < width:
                 yield _mix((np.append(words, np.uint64(n)) * _ODD[8 : 9 + n]).sum(keepdims=True))
             else:
-                yield np.unique(_mix(sum(words[i : n - WIDTH + 1 + i] * _ODD[4 + i] for i in range(WIDTH))))
+                yield np.unique(_mix(sum(words[i : n - width + 1 + i] * _ODD[4 + i] for i in range(width))))
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -131,7 +132,7 @@ def bands(sketched: np.ndarray) -> np.ndarray:
     return _mix(rows.sum(1) + np.arange(BANDS, dtype=np.uint64) * _ODD[15]).view(np.int64)
 
 
-def sketches(df: DataFrame) -> DataFrame:
+def sketches(df: DataFrame, width: int) -> DataFrame:
     """doc_id, row, n_shingles, set_id, bands, bits (a byte of each coordinate) of every row."""
     kind = df.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, row long, k1 long, k2 long, n_shingles long, set_id binary, bands array<long>, bits binary"
@@ -141,7 +142,7 @@ def sketches(df: DataFrame) -> DataFrame:
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for s in shingle_sets(batch["text"].to_pylist()):
+            for s in shingle_sets(batch["text"].to_pylist(), width):
                 if len(s):
                     made = sketch(s)
                     bits = (_mix(made) & np.uint64(255)).astype(np.uint8).tobytes()
@@ -165,17 +166,17 @@ def _alike(n1: str, n2: str):
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are linked; ``texts`` has node, text."""
 
     def confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple[int, np.ndarray] | None = None
         for batch in batches:
             keep = []
-            others = shingle_sets(batch["text_b"].tolist())
+            others = shingle_sets(batch["text_b"].tolist(), width)
             for a, text, other in zip(batch["a"], batch["text_a"], others):
                 if last is None or last[0] != a:
-                    last = (a, next(shingle_sets([text])))
+                    last = (a, next(shingle_sets([text], width)))
                 shared = len(np.intersect1d(last[1], other, assume_unique=True))
                 keep.append(100 * shared >= PERCENT * (len(last[1]) + len(other) - shared))
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
@@ -200,7 +201,7 @@ def _sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(n1, "a").join(n2, "b").where(_alike("n1", "n2")).select("a", "b")
 
 
-def _block_links(shared: DataFrame, sets: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+def _block_links(shared: DataFrame, sets: DataFrame, found: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Links between sets of one bucket that are in different components, from blocks of it.
 
     Buckets of two have been compared. Two blocks of a bucket meet in one task, which compares
@@ -232,7 +233,7 @@ def _block_links(shared: DataFrame, sets: DataFrame, found: DataFrame, texts: Da
 
         def of(i: int) -> np.ndarray:
             if i not in full:
-                full[i] = next(shingle_sets([group["text"].iloc[i]]))
+                full[i] = next(shingle_sets([group["text"].iloc[i]], width))
             return full[i]
 
         columns, out = np.flatnonzero(mine == upper), []
@@ -257,19 +258,19 @@ def _block_links(shared: DataFrame, sets: DataFrame, found: DataFrame, texts: Da
     return at.groupBy("bucket", "lower", "upper").applyInPandas(linked, "a long, b long").distinct()
 
 
-def without_near_copies(df: DataFrame) -> DataFrame:
+def without_near_copies(df: DataFrame, width: int = STAGE_WIDTH) -> DataFrame:
     """The rows of ``df``, whole, that their component keeps; told by id and text."""
-    dropped = store(near_dedup(df.select("doc_id", "text"), keys=True).where("not kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
+    dropped = store(near_dedup(df.select("doc_id", "text"), keys=True, width=width).where("not kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
     same = (F.xxhash64("doc_id", text_of()) == F.col("_k1")) & (F.xxhash64(text_of(), "doc_id", F.lit(1)) == F.col("_k2"))
     return df.join(dropped, same, "left_anti")
 
 
-def near_dedup(df: DataFrame, keys: bool = False) -> DataFrame:
+def near_dedup(df: DataFrame, keys: bool = False, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``df`` (doc_id, text).
 
-    With ``keys`` also the two hashes that tell rows by id and text.
+    Shingles have ``width`` words. With ``keys`` also the two hashes that tell rows by id and text.
     """
-    rows = sketches(df)
+    rows = sketches(df, width)
     # Sets that several rows have count once, as the node that is their smallest row.
     sets = store(
         rows.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("row", "k1", "k2", "n_shingles", "bands", "bits")).alias("s")).select(
@@ -288,9 +289,9 @@ def near_dedup(df: DataFrame, keys: bool = False) -> DataFrame:
         texts = texts.dropDuplicates(["node"])
     texts = store(texts)
 
-    links = verified(pairs, texts)
+    links = verified(pairs, texts, width)
     found = store(components(links))
-    more = store(_block_links(shared, sets, found, texts))
+    more = store(_block_links(shared, sets, found, texts, width))
     if not more.isEmpty():
         found = store(components(links.unionByName(more)))
 

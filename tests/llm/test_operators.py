@@ -398,6 +398,18 @@ def test_near_dedup_of_a_large_loose_group(spark, monkeypatch):
     assert Counter(map(tuple, got)) == components_by_force(rows)
 
 
+def test_near_stage_takes_five_words(spark):
+    # Two words changed, apart: likeness is above 0.8 over four words and below it over five.
+    words = [f"w{i}" for i in range(80)]
+    other = [*words[:30], "x", *words[31:60], "y", *words[61:]]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    shared = lambda k: len({tuple(words[i : i + k]) for i in range(81 - k)} & {tuple(other[i : i + k]) for i in range(81 - k)})
+    assert 100 * shared(4) >= 80 * (2 * 77 - shared(4)) and 100 * shared(5) < 80 * (2 * 76 - shared(5))
+    assert {r.component_id for r in near_dedup.near_dedup(rows).collect()} == {1}
+    assert {r.component_id for r in near_dedup.near_dedup(rows, width=5).collect()} == {1, 2}
+    assert corpus_pipeline.near(spark, rows, "").count() == 2
+
+
 def test_sketch_estimates_likeness():
     rnd = np.random.default_rng(1)
     for n, shared in [(1, 1), (2, 1), (40, 32), (3000, 2400)]:
