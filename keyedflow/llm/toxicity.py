@@ -8,8 +8,9 @@ counts once for each text. The model scores a text as
 over its terms, so that two terms can weigh more, or less, together than alone.
 
 Training: of the labelled rows that may be used, a sample of at most TRAIN_ROWS with the
-smallest hash of their id; of their terms the TERMS that tell most about the label. Both are
-bounds on the model, not on the data: every whole text is scored.
+smallest hash of their id, one for each id (that with the smallest hash of its text); of their
+terms the TERMS that tell most about the label. Both are bounds on the model, not on the data:
+every whole text is scored.
 
 Defined results: null texts count as empty; a text without known terms gets the model's bias
 (near the share of toxic rows). Without any label that may be used all scores are 0. Rows
@@ -80,6 +81,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
 
     # The sample has TRAIN_ROWS rows of two numbers at most.
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
+    # One row for each id; a task keeps one before the shuffle, however many rows the id has.
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return store(rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(terms, f"doc_id {kind}, toxic int, terms array<int>"))
 

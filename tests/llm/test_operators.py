@@ -105,6 +105,16 @@ def test_toxicity_awkward_rows(spark, data):
     assert len(rows) == len(documents()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+def test_training_rows_has_one_row_for_each_id(spark):
+    docs = [(0, f"text {i % 7}") for i in range(500)] + [(1, "other"), (1, None), (3, "more"), (None, "none")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)] + [(1, 0)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels).collect()
+    ids = {r.doc_id for r in docs.where(~toxicity.held_out()).where("doc_id is not null").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(ids) and 0 in ids and all(r.toxic == r.doc_id % 2 for r in rows)
+    assert sorted(rows) == sorted(toxicity.training_rows(docs.repartition(3), labels).collect())
+
+
 def test_factorization_machine_learns_pairs():
     # Toxic only where both terms stand together: no weight of a single term can tell.
     rows = [(int(a and b), [i for i, x in enumerate((a, b)) if x]) for a in (0, 1) for b in (0, 1) for _ in range(100)]
