@@ -48,13 +48,15 @@ def data(spark, tmp_path_factory):
     spark.createDataFrame(pages(), "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     labels = [(7 * i, None if i == 3 else 1, int(i % 7 == 0)) for i in range(0, 100)] + [(0, 1, 1), (None, 0, 1), (7, 1, None)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, 0, "user", "a", "k")], "conv_id long, turn long, role string, text string, node string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([(0, [0.5], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
 @pytest.fixture(scope="module")
 def empty(spark, data, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("none"))
-    for name in ("documents", "pages", "labels"):
+    for name in ("documents", "pages", "labels", "conversations", "embeddings"):
         spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
