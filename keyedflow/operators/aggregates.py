@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keyedflow import rules
 from keyedflow.functions.exprs import as_double, as_text, value_field
-from keyedflow.operators.running import running, with_hot_offset_chunk
+from keyedflow.operators.running import CHUNK, running, with_hot_offset_chunk
 from keyedflow.operators.skew import ROWS_PER_TASK
 
 GROUP_MODES = ("GROUP_BY_KEY", "GROUP_BY")
@@ -96,7 +96,7 @@ def fold_windows(inputs: DataFrame, aggregations: Sequence[Count | Sum], size_ms
     return grouped.select("key", value.alias("value"), "ts")
 
 
-def _window_start(size_ms: int) -> Column:
+def window_start(size_ms: int) -> Column:
     ms = F.unix_millis("ts")
     return ms - F.pmod(ms, F.lit(size_ms))
 
@@ -121,7 +121,7 @@ def drop_late(
     rules.batch("window_aggregate_stream, whose grace drops late records", df)
     timed = with_hot_offset_chunk(df.withColumn("_stream_time", F.unix_millis("ts")), [by], rows_per_chunk)
     seen = running(timed, [by], ["partition", "offset"], {"_stream_time": "max"})
-    end = _window_start(size_ms) + size_ms
+    end = window_start(size_ms) + size_ms
     return seen.where(end > F.col("_stream_time") - grace_ms).drop("_stream_time")
 
 
@@ -174,10 +174,12 @@ def window_aggregate_changelog(
     rules.batch("window_aggregate_stream in update mode", df)
     carried = sorted({"partition", "offset", stream_time_by} - {"key"})
     inputs = grouped_inputs(df, aggregations, group_mode, key_extractor, strict, carried)
-    if grace is not None:
-        inputs = drop_late(inputs, size_ms, grace, stream_time_by, rows_per_chunk)
-    inputs = inputs.withColumn("_start", _window_start(size_ms))
+    inputs = inputs.withColumn("_start", window_start(size_ms))
+    # Chunks are planned before late records go, so that finding them doesn't take the late drop.
     inputs = with_hot_offset_chunk(inputs, ["key", "_start"], rows_per_chunk)
+    if grace is not None:
+        inputs = drop_late(inputs.withColumnRenamed(CHUNK, "_totals_chunk"), size_ms, grace, stream_time_by, rows_per_chunk)
+        inputs = inputs.withColumnRenamed("_totals_chunk", CHUNK)
     folds = {input_name(i): "sum" for i in range(len(aggregations))} | {"ts": "max"}
     totals = running(inputs, ["key", "_start"], ["partition", "offset"], folds)
     value = result_value(aggregations, F.col("_start"), F.col("_start") + size_ms)

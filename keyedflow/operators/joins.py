@@ -227,15 +227,20 @@ def paired_arrivals(
 ) -> DataFrame:
     """``table_join_changelog`` over ``tagged_arrivals`` that may come from a stored log of them."""
     rules.batch("table_join_stream", arrivals)
+    order = pair_order(order_by)
+    chunked = (with_hot_time_chunk if order_by == "ts" else with_hot_offset_chunk)(arrivals, ["key"], rows_per_chunk)
+    return flat_pairs(running(chunked, ["key"], order, {"_left": "last", "_right": "last"}), left_name, right_name)
+
+
+def pair_order(order_by: str) -> list[str]:
+    """Columns of ``tagged_arrivals`` that say which record comes first."""
     if order_by not in ("ts", "offset"):
         raise ValueError(f"order_by must be 'ts' or 'offset', got {order_by!r}")
-    if order_by == "ts":
-        order = ["ts", *ARRIVAL, "side"]
-        arrivals = with_hot_time_chunk(arrivals, ["key"], rows_per_chunk)
-    else:
-        order = [*ARRIVAL, "side"]
-        arrivals = with_hot_offset_chunk(arrivals, ["key"], rows_per_chunk)
-    pairs = running(arrivals, ["key"], order, {"_left": "last", "_right": "last"})
+    return [*(["ts"] if order_by == "ts" else []), *ARRIVAL, "side"]
+
+
+def flat_pairs(pairs: DataFrame, left_name: str, right_name: str) -> DataFrame:
+    """Changelog rows of arrivals whose ``_left`` and ``_right`` are the latest records of both sides."""
     return pairs.where(F.col("_left").isNotNull() & F.col("_right").isNotNull()).select(
         "key",
         joined_value(left_name, F.col("_left.record"), right_name, F.col("_right.record")).alias("value"),

@@ -17,13 +17,14 @@ from keyedflow.operators.enrich import enrich_lookup
 from keyedflow.operators.joins import interval_join, latest_by_key, table_join_changelog, table_join_latest
 from keyedflow.operators.transforms import FROM_KEY, colocate, filter_, key_partition, mapping, merge, rekey
 from keyedflow.plans import jobs, tables
-from keyedflow.plans.runs import read_stream, run_to_end, work_folder
+from keyedflow.plans.runs import read_stream, run_in_parts, run_to_end, work_folder
 from keyedflow.sinks.cache import cache_list, cache_set
 from keyedflow.sinks.topics import encode, land, topic_files_stream, write_topic_files
 from keyedflow.sources.envelope import decode
 from keyedflow.sources.topics import read_topic_files
 from keyedflow.streaming.aggregates import window_aggregate_stream
 from keyedflow.streaming.joins import interval_join_stream, read_table_join, table_join_log
+from keyedflow.streaming.running import drop_late_stream, read_steps, table_join_changes_stream, window_changelog_stream
 from keyedflow.streaming.settings import configure
 from keyedflow.streaming.sinks import (
     append_stream,
@@ -604,6 +605,76 @@ def stream_job_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_totals(totals, "orderCount", "totalAmount")
 
 
+# Running operators on streams: the records arrive in four parts, each a micro-batch of a restarted query.
+PARTS = 4
+
+
+@query
+def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records are late against what earlier micro-batches brought."""
+    folder = work_folder(spark)
+    run_in_parts(
+        shuffled_events(spark, sf_dir), "offset", PARTS, lambda e: drop_late_stream(e, HOUR_MS, 5_000, f"{folder}/kept", f"{folder}/c")
+    )
+    return read_steps(spark, f"{folder}/kept").select("key", "value.event_type", "value.value", "offset", ts_ms())
+
+
+@query
+def stream_aggregate_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One update per record, not per micro-batch."""
+    folder = work_folder(spark)
+    run_in_parts(
+        tables.events(spark, sf_dir), "offset", PARTS, lambda e: window_changelog_stream(e, TOTALS, DAY_MS, f"{folder}/out", f"{folder}/c")
+    )
+    return flat_totals(read_steps(spark, f"{folder}/out"))
+
+
+@query
+def stream_late_drop_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark)
+    run_in_parts(
+        shuffled_events(spark, sf_dir), "offset", PARTS,
+        lambda e: window_changelog_stream(e, TOTALS, HOUR_MS, f"{folder}/out", f"{folder}/c", grace=5_000),
+    )
+    return flat_totals(read_steps(spark, f"{folder}/out"))
+
+
+@query
+def stream_table_join_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks against all other events of a user, latest by latest, as they arrive."""
+    folder = work_folder(spark)
+    run_in_parts(
+        tables.events(spark, sf_dir).withColumn("at", F.unix_millis("ts")), "at", PARTS,
+        lambda e: table_join_changes_stream(*clicks_and_others(e), "left", "right", "key", f"{folder}/out", f"{folder}/c"),
+    )
+    return flat_event_pairs(read_steps(spark, f"{folder}/out"))
+
+
+def _job_updates(spark: SparkSession, sf_dir: str, output: str) -> DataFrame:
+    """The streaming job over customers and orders that arrive together, day by day."""
+    folder = work_folder(spark)
+    customers = tables.customers(spark, sf_dir).select("key", F.col("value").alias("customer"), "ts", "partition", "offset")
+    orders = tables.orders_by_date(spark, sf_dir).select("key", F.col("value").alias("order"), "ts", "partition", "offset")
+    both = customers.unionByName(orders, allowMissingColumns=True).withColumn("at", F.unix_millis("ts"))
+
+    def start(rows: DataFrame):
+        side = lambda name: rows.where(F.col(name).isNotNull()).select("key", F.col(name).alias("value"), "ts", "partition", "offset")
+        return getattr(jobs.customer_orders_changes(side("customer"), side("order"), folder, f"{folder}/c"), output)
+
+    run_in_parts(both, "at", PARTS, start)
+    return read_steps(spark, f"{folder}/{output}")
+
+
+@query
+def stream_job_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_customer_orders(_job_updates(spark, sf_dir, "joined"))
+
+
+@query
+def stream_job_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_totals(_job_updates(spark, sf_dir, "stats"), "orderCount", "totalAmount")
+
+
 @query
 def stream_enrich_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateless operators on streams: filter, merge, rekey, mapping and enrich."""

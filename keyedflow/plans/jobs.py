@@ -5,11 +5,13 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import DataStreamWriter
 
 from keyedflow.operators.aggregates import Count, Sum, window_aggregate, window_aggregate_changelog
 from keyedflow.operators.joins import table_join_changelog
 from keyedflow.streaming.aggregates import window_aggregate_stream
 from keyedflow.streaming.joins import table_join_stream
+from keyedflow.streaming.running import table_join_changes_stream, window_changelog_stream
 
 ORDER_STATS = (Count("orderCount"), Sum("amount", "totalAmount"))
 STATS_WINDOW_MS = 60_000
@@ -57,3 +59,28 @@ def customer_orders_stream(customers: DataFrame, orders: DataFrame, grace: int =
         key_extractor="value.customerId",
     )
     return CustomerOrders(joined, stats)
+
+
+class CustomerOrdersWriters(NamedTuple):
+    joined: DataStreamWriter
+    stats: DataStreamWriter
+
+
+def customer_orders_changes(
+    customers: DataFrame, orders: DataFrame, folder: str, checkpoint: str, grace: int | None = STATS_GRACE_MS
+) -> CustomerOrdersWriters:
+    """``customer_orders`` on streams with every update of both, read with ``read_steps`` from ``joined`` and ``stats``."""
+    joined = table_join_changes_stream(
+        customers, orders, "customer", "order", "value.customerId", f"{folder}/joined", f"{checkpoint}/joined"
+    )
+    stats = window_changelog_stream(
+        orders,
+        ORDER_STATS,
+        STATS_WINDOW_MS,
+        f"{folder}/stats",
+        f"{checkpoint}/stats",
+        grace,
+        group_mode="GROUP_BY",
+        key_extractor="value.customerId",
+    )
+    return CustomerOrdersWriters(joined, stats)

@@ -252,3 +252,12 @@ ORACLE: dict[str, str] = {
                cast({36_500 * DAY} AS bigint) AS "windowEnd"
         FROM events GROUP BY user_id""",
 }
+# The running operators on streams give what the batch operators give over the same records.
+ORACLE |= {
+    "stream_late_drop": ORACLE["late_drop_rows"],
+    "stream_aggregate_updates": ORACLE["aggregate_updates"],
+    "stream_late_drop_updates": ORACLE["late_drop_updates"],
+    "stream_table_join_updates": ORACLE["table_join_interleaved"],
+    "stream_job_joined": ORACLE["job_customer_orders_joined"],
+    "stream_job_updates": ORACLE["job_customer_orders_stats"],
+}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from keyedflow.sources.topics import bounded_stream
@@ -35,3 +37,19 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     # A glob, since a file stream takes folders or patterns but not one plain file.
     return bounded_stream(spark).schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
+
+
+def run_in_parts(df: DataFrame, order: str, parts: int, start: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Hand the rows of ``df`` to a stream in consecutive ``parts`` by ``order``, a number.
+
+    ``start`` makes the writer from the stream. It is started anew for every part, from its checkpoint,
+    and takes the part as one micro-batch.
+    """
+    spark, folder = df.sparkSession, f"{work_folder(df.sparkSession)}/parts"
+    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    for low, high in zip(bounds, bounds[1:]):
+        above = F.lit(True) if low is None else F.col(order) > low
+        below = F.lit(True) if high is None else F.col(order) <= high
+        df.where(above & below).write.mode("append").parquet(folder)
+        run_to_end(start(spark.readStream.schema(df.schema).parquet(folder)))
