@@ -135,24 +135,18 @@ def mix(df: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights=WEI
 
 
 def mixed(df: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of ``df`` as often as the mix takes them; the last of a source may be cut.
+    """The rows of ``df`` as often as the mix takes them, whole.
 
-    Rows repeated with the same id and text all get the largest share of any of them.
+    Of the one document of a source that the mix takes in part, the last copy is taken if the mix takes
+    half of it or more, so a source is off its target by half of one document at most. Rows repeated with
+    the same id and text all get the largest share of any of them.
     """
     shares = mix(df, seed=seed).where("taken > 0").groupBy("draw").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
     names = [f"_c{i}" for i in range(len(df.columns))]
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(df.columns, names)], F.xxhash64("doc_id", text_of(), F.lit(seed)).alias("draw"))
-    copies = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))
-    rows = rows.join(shares, "draw").withColumn("_copy", F.explode(copies))
-    words_left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    text = F.col(names[df.columns.index("text")])
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[ \\t-\\r]*" + WORD), F.lit(0)), F.lit(1), words_left.cast("int")), "")
-    text = F.when(words_left < F.col("_size"), cut).otherwise(text)
-    out = []
-    for name, column in zip(names, df.columns):
-        value = {"text": text, "n_chars": F.when(words_left < F.col("_size"), F.char_length(cut)).otherwise(F.col(name))}
-        out.append(value.get(column, F.col(name)).cast(df.schema[column].dataType).alias(column))
-    return rows.select(*out)
+    copies = F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int")
+    rows = rows.join(shares, "draw").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names)])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

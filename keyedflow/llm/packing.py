@@ -10,7 +10,8 @@ smallest gap that holds it, or into a new sequence where there is none.
 
 Token ids are made a word at a time: a text is cut before spaces where the tokenizer's pattern
 can't join across, and the ids of a word are kept while a worker lives. Texts in which spaces
-stand inside other white space are encoded as one.
+stand inside other white space, or that hold one of the vocabulary's added tokens, such as the mark
+of a text's end, are encoded as one; an added token is its own id, as in the tokenizer itself.
 
 Defined results: null texts count as empty; an empty text is the end token alone. Repeated rows
 are packed as often as they occur, also null ids. An empty table gives an empty result.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -36,7 +38,7 @@ CAPACITY = 2048
 END = 0
 #: Words whose ids a Python worker keeps.
 KEPT_WORDS = 300_000
-#: The ranks of the vocabulary in byte_bpe_50k.json.
+#: The ranks of the vocabulary in byte_bpe_50k.json, which also names its added tokens.
 RANKS = "byte_bpe_50k.tiktoken"
 # A space between two white-space characters: a run of these is one token to the tokenizer.
 INSIDE_SPACE = re.compile(r"\s \s")
@@ -120,7 +122,10 @@ class _Words(dict):
 
         with open(public_tokenizers.path(ranks), "rb") as file:
             known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+        with open(public_tokenizers.path(ranks.replace(".tiktoken", ".json"))) as file:
+            self.added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        known = {token: rank for token, rank in known.items() if rank not in self.added.values()}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=self.added)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
@@ -132,6 +137,8 @@ class _Words(dict):
         return found
 
     def encode(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
         if INSIDE_SPACE.search(text):
             return self.ids(text)
         first, *words = text.split(" ")

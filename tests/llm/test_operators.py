@@ -258,7 +258,6 @@ def test_packing(spark, data):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     expected = Counter()
     for doc_id, text, *_ in documents():
         ids = made.encode(text or "", add_special_tokens=False).ids + [0]
@@ -276,6 +275,17 @@ def test_packing(spark, data):
     assert len(sequences) <= math.ceil(sum(r.length for r in rows) / 2048) + 2
 
 
+def test_added_tokens_are_single_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made, words, rnd = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._Words(packing.RANKS), random.Random(9)
+    texts = ["<|endoftext|> x", "a\n <|endoftext|>b ", "<|endoftext|>" * 3, "a<|endoftext", "<|endoftext |>", " <|endoftext|>  <|endoftext|>\n"]
+    texts += ["".join(rnd.choices(["<|endoftext|>", " ", "\n", "ab", "c's", "ä", "12", "<|", "|>"], k=rnd.randint(0, 12))) for _ in range(500)]
+    for text in texts:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == made.encode(text, add_special_tokens=False).ids, text
+
+
 def brute_targets(sizes: dict) -> dict:
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
@@ -303,10 +313,23 @@ def test_mixing(spark, data):
         taken[r.source] += r.taken
     assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes) and len(rows) == len(documents())
     assert Counter(mixing.mix(docs.repartition(5)).collect()) == Counter(rows)
-    mixed = mixing.mixed(docs.dropDuplicates(["doc_id", "text"]))
+    once = docs.dropDuplicates(["doc_id", "text"])
+    mixed = mixing.mixed(once)
     assert mixed.columns == docs.columns
-    words = sum(len(WORD.findall(r.text)) for r in mixed.collect())
-    assert words == sum(r.taken for r in mixing.mix(docs.dropDuplicates(["doc_id", "text"])).collect())
+    # Whole documents, as often as the mix takes them; half of one or more counts as all of it.
+    expected = Counter()
+    for r in mixing.mix(once.where("doc_id is not null")).collect():
+        expected[r.doc_id] += int(r.taken / r["size"] + 0.5) if r["size"] else 0
+    mixed = mixing.mixed(once.where("doc_id is not null"))
+    assert Counter(r.doc_id for r in mixed.collect()) == +expected
+    assert mixed.exceptAll(mixed.join(once, "doc_id", "left_semi")).isEmpty() and mixed.distinct().join(once.select("doc_id", "text"), ["doc_id", "text"]).count() == len(+expected)
+    largest, near = Counter(), Counter()
+    for r in once.where("doc_id is not null").collect():
+        largest[r.source] = max(largest[r.source], len(WORD.findall(r.text or "")))
+    for r in mixed.collect():
+        near[r.source] += len(WORD.findall(r.text))
+    goals = {r.source: r.target for r in mixing.mix(once.where("doc_id is not null")).collect()}
+    assert all(abs(near[s] - goals[s]) <= largest[s] / 2 + 1 for s in goals)
 
 
 def test_html_text(spark, data):
