@@ -24,7 +24,7 @@ from keyedflow.operators.aggregates import (
     window_aggregate,
     window_aggregate_changelog,
 )
-from keyedflow.operators.enrich import enrich_lookup
+from keyedflow.operators.enrich import enrich_as_of, enrich_lookup
 from keyedflow.operators.joins import (
     interval_join,
     latest_by_key,
@@ -50,6 +50,7 @@ __all__ = [
     "decode",
     "drop_late",
     "encode",
+    "enrich_as_of",
     "enrich_lookup",
     "filter_",
     "interval_join",

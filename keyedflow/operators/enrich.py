@@ -1,4 +1,4 @@
-"""Enrichment from a lookup table: a left join that takes the first matching row."""
+"""Enrichment from a lookup table: a left join that takes the first matching row, or the one that holds at the time."""
 
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from keyedflow import rules
 from keyedflow.functions.exprs import as_text
-from keyedflow.operators.skew import hot_groups, spread
+from keyedflow.operators.running import running, with_hot_time_chunk
+from keyedflow.operators.skew import ROWS_PER_TASK, hot_groups, spread
+from keyedflow.sources.envelope import to_millis
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Allowance per row on top of the text itself when a lookup is held as a hash table.
@@ -114,3 +116,68 @@ def enrich_lookup(
         small = not df.isStreaming and _text_bytes(rows, params, targets) <= broadcast_bytes
         attached = _attach(records, rows.groupBy(*params).agg(first_row), params, small, rows_per_task)
     return attached.withColumn("value", _with_fields(df, F.col("_found"), targets)).select(*df.columns)
+
+
+def enrich_as_of(
+    df: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[tuple[Column | str, str]],
+    fields: Sequence[tuple[str, str]],
+    valid_from: Column | str,
+    valid_to: Column | str | None = None,
+    at: Column | str = "ts",
+    order_by: Sequence[str] = (),
+    strict: bool = True,
+    rows_per_chunk: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """``enrich_lookup`` with rows that hold for a time, or for a range of whole numbers.
+
+    Of the lookup rows with equal keys that start at ``at`` or before, the last to start counts, until
+    its ``valid_to`` (exclusive; null or none: for good) or until the next one starts. Of rows that
+    start together the first by ``order_by``, or by the copied columns, counts. ``at``, ``valid_from`` and
+    ``valid_to`` are timestamps or whole numbers; without ``on``, all records search the same rows, such
+    as the bands of a tariff. A null key, time or start matches nothing.
+
+    Lookup rows and records are laid into one sequence per key and the last row carried along it, in
+    chunks where a key is hot, so nothing is compared pair by pair and no side has to be small.
+    """
+    rules.required("lookup", lookup)
+    rules.required("fields", list(fields))
+    rules.required("valid_from", valid_from)
+    rules.batch("enrich_lookup", df)
+    rules.ordered(df, ["partition", "offset"])
+    for column, target in fields:
+        rules.required("column", column)
+        rules.required("target", target)
+    fields = list({target: (column, target) for column, target in fields}.values())
+    targets, params = [t for _, t in fields], [f"_p{i}" for i in range(len(on))]
+    keys = [*params, "_any"]
+    found = F.struct(*[F.col(c).cast("string").alias(t) for c, t in fields])
+    starts = lookup.select(
+        *[F.col(c).cast("string").alias(p) for p, (_, c) in zip(params, on)],
+        F.lit(0).alias("_any"),
+        F.timestamp_millis(to_millis(lookup, valid_from)).alias("ts"),
+        F.struct(
+            found.alias("found"), (F.lit(None).cast("bigint") if valid_to is None else to_millis(lookup, valid_to)).alias("end")
+        ).alias("_row"),
+        (F.struct(*order_by) if order_by else found).alias("_order"),
+    ).dropna(subset=[*params, "ts"])
+    # One row for each start, so that it comes before all records of its time and ties are settled.
+    starts = starts.groupBy(*keys, "ts").agg(F.min_by("_row", "_order").alias("_row"))
+    starts = starts.withColumns({"partition": F.lit(-(1 << 31)).cast("int"), "offset": F.lit(0).cast("bigint")})
+    if strict:
+        df = df.withColumn("value", F.when(F.col("value").isNotNull(), F.col("value")).otherwise(
+            F.raise_error(F.lit("a null value cannot be enriched")).cast(df.schema["value"].dataType)))
+    records = df.select(
+        *[as_text(df, e, strict).alias(p) for p, (e, _) in zip(params, on)],
+        F.lit(0).alias("_any"),
+        F.timestamp_millis(to_millis(df, at)).alias("ts"),
+        F.struct(*df.columns).alias("_record"),
+        "partition",
+        "offset",
+    )
+    both = with_hot_time_chunk(records.unionByName(starts, allowMissingColumns=True), keys, rows_per_chunk)
+    known = running(both, keys, ["ts", "partition", "offset"], {"_row": "last"}).where(F.col("_record").isNotNull())
+    holds = F.col("ts").isNotNull() & (F.col("_row.end").isNull() | (F.unix_millis("ts") < F.col("_row.end")))
+    known = known.select("_record.*", F.when(holds, F.col("_row.found")).alias("_found"))
+    return known.withColumn("value", _with_fields(df, F.col("_found"), targets)).select(*df.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from keyedflow.functions.exprs import as_double, lenient_text, now_millis, path, template
 from keyedflow.operators.aggregates import Count, Sum, drop_late, window_aggregate, window_aggregate_changelog
-from keyedflow.operators.enrich import enrich_lookup
+from keyedflow.operators.enrich import enrich_as_of, enrich_lookup
 from keyedflow.operators.joins import interval_join, latest_by_key, table_join_changelog, table_join_latest
 from keyedflow.operators.transforms import FROM_KEY, colocate, filter_, key_partition, mapping, merge, rekey
 from keyedflow.plans import jobs, tables
@@ -24,6 +24,7 @@ from keyedflow.sources.envelope import decode
 from keyedflow.sources.topics import read_topic_files
 from keyedflow.streaming.aggregates import window_aggregate_stream
 from keyedflow.streaming.joins import interval_join_stream, read_table_join, table_join_log
+from keyedflow.streaming.lists import compact_list, list_stream, read_list
 from keyedflow.streaming.running import drop_late_stream, read_steps, table_join_changes_stream, window_changelog_stream
 from keyedflow.streaming.settings import configure
 from keyedflow.streaming.sinks import (
@@ -405,6 +406,39 @@ def enrich_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def enrich_as_of_click(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other events with the user's last click, which holds for six hours, or for good if its value is small."""
+    _, others = clicks_and_others(tables.events(spark, sf_dir))
+    clicks = tables.table(spark, sf_dir, "events").where("event_type = 'click'")
+    enriched = enrich_as_of(
+        others,
+        clicks,
+        on=[("key", "user_id")],
+        fields=[("event_id", "click"), ("event_type", "props")],
+        valid_from="ts",
+        valid_to="CASE WHEN value >= 20 THEN ts + INTERVAL 6 HOURS END",
+        order_by=["event_id"],
+    )
+    return enriched.select("key", "offset", "value.event_type", "value.click", "value.props")
+
+
+@query
+def enrich_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the nation whose band of prices they fall into; bands have gaps, and no key."""
+    nations = tables.table(spark, sf_dir, "nation")
+    enriched = enrich_as_of(
+        tables.orders(spark, sf_dir),
+        nations,
+        on=[],
+        fields=[("n_name", "band")],
+        valid_from="n_nationkey * 20000",
+        valid_to="n_nationkey * 20000 + 15000",
+        at="cast(floor(value.amount) as bigint)",
+    )
+    return enriched.select("key", "value.amount", "value.band")
+
+
 # Aggregates
 
 
@@ -650,6 +684,27 @@ def stream_table_join_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_event_pairs(read_steps(spark, f"{folder}/out"))
 
 
+def _event_lists(spark: SparkSession, sf_dir: str) -> str:
+    """Values of events by type, listed by a stream in parts, the first of them compacted."""
+    folder = work_folder(spark)
+    run_in_parts(
+        tables.events(spark, sf_dir), "offset", PARTS, lambda e: list_stream(e, "value.event_type", f"{folder}/lists", f"{folder}/c")
+    )
+    compact_list(spark, f"{folder}/lists", PARTS - 2)
+    return f"{folder}/lists"
+
+
+@query
+def stream_list_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_list(spark, _event_lists(spark, sf_dir)).select("key", "position", "value.value")
+
+
+@query
+def stream_list_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One list out of all, from its bucket."""
+    return read_list(spark, _event_lists(spark, sf_dir), ["click"]).select("key", "position", "value.value")
+
+
 def _job_updates(spark: SparkSession, sf_dir: str, output: str) -> DataFrame:
     """The streaming job over customers and orders that arrive together, day by day."""
     folder = work_folder(spark)

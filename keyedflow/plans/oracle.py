@@ -190,6 +190,16 @@ ORACLE: dict[str, str] = {
     "enrich_variant": f"""
         SELECT {USER} AS key, event_id AS "offset", {K} AS k, n_name AS nation, n_name IS NULL AS miss
         FROM events LEFT JOIN nation ON n_nationkey = {K}""",
+    "enrich_as_of_click": f"""
+        SELECT cast(o.user_id AS varchar) AS key, o.event_id AS "offset", o.event_type,
+               CASE WHEN holds THEN cast(c.event_id AS varchar) END AS click, CASE WHEN holds THEN 'click' END AS props
+        FROM (SELECT *, {MS} AS ms FROM events WHERE event_type <> 'click') o
+        ASOF LEFT JOIN (SELECT *, {MS} AS ms FROM events WHERE event_type = 'click') c ON o.user_id = c.user_id AND o.ms >= c.ms
+        CROSS JOIN LATERAL (SELECT c.value < 20 OR o.ms < c.ms + 21600000 AS holds)""",
+    "enrich_in_range": """
+        SELECT cast(o_orderkey AS varchar) AS key, o_totalprice AS amount, n_name AS band
+        FROM orders LEFT JOIN nation
+          ON floor(o_totalprice) >= n_nationkey * 20000 AND floor(o_totalprice) < n_nationkey * 20000 + 15000""",
     "aggregate_by_key": totals("events", USER, DAY),
     "aggregate_group_by": totals("events", "event_type", HOUR),
     "aggregate_lenient_sum": f"""
@@ -258,6 +268,8 @@ ORACLE |= {
     "stream_aggregate_updates": ORACLE["aggregate_updates"],
     "stream_late_drop_updates": ORACLE["late_drop_updates"],
     "stream_table_join_updates": ORACLE["table_join_interleaved"],
+    "stream_list_positions": EVENT_LISTS,
+    "stream_list_one_key": f"SELECT * FROM ({EVENT_LISTS}) WHERE key = 'click'",
     "stream_job_joined": ORACLE["job_customer_orders_joined"],
     "stream_job_updates": ORACLE["job_customer_orders_stats"],
 }

@@ -111,7 +111,9 @@ def table_join_step(table: BucketTable, left_name: str, right_name: str, order_b
     return step
 
 
-def step_stream(df: DataFrame, steps: Sequence[Step], folder: str, checkpoint: str) -> DataStreamWriter:
+def step_stream(
+    df: DataFrame, steps: Sequence[Step], folder: str, checkpoint: str, partition_by: Sequence[str] = ()
+) -> DataStreamWriter:
     """Every micro-batch through ``steps``, its results written to a folder of its own below ``folder``.
 
     Read them with ``read_steps``. Rows between steps are kept, not computed again.
@@ -124,7 +126,8 @@ def step_stream(df: DataFrame, steps: Sequence[Step], folder: str, checkpoint: s
         try:
             for step in steps[:-1]:
                 held.append(step(held[-1], batch_id).persist())
-            steps[-1](held[-1], batch_id).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+            out = steps[-1](held[-1], batch_id).write.mode("overwrite").partitionBy(*partition_by)
+            out.parquet(f"{folder}/batch_id={batch_id}")
         finally:
             for rows in held:
                 rows.unpersist()
