@@ -19,7 +19,7 @@ from keyedflow.operators.transforms import FROM_KEY, colocate, filter_, key_part
 from keyedflow.plans import jobs, tables
 from keyedflow.plans.runs import read_stream, run_in_parts, run_to_end, work_folder
 from keyedflow.sinks.cache import cache_list, cache_set
-from keyedflow.sinks.topics import encode, land, topic_files_stream, write_topic_files
+from keyedflow.sinks.topics import encode, land, read_colocated, topic_files_stream, write_colocated, write_topic_files
 from keyedflow.sources.envelope import decode
 from keyedflow.sources.topics import read_topic_files
 from keyedflow.streaming.aggregates import window_aggregate_stream
@@ -34,6 +34,7 @@ from keyedflow.streaming.sinks import (
     fan_out,
     read_cache_list,
     read_cache_set,
+    read_committed,
     read_latest,
     upsert_stream,
 )
@@ -335,6 +336,32 @@ def table_join_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def colocated_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers and orders as tables with one layout by customer."""
+    out = []
+    for df in (named_customers(spark, sf_dir), rekey(priced_orders(spark, sf_dir), "value.customerId")):
+        folder = work_folder(spark)
+        name = "colocated_" + folder.rpartition("/")[2].replace("-", "_")
+        write_colocated(df, name, folder, 8)
+        out.append(read_colocated(spark, name))
+    return tuple(out)
+
+
+@query
+def colocated_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest order of every customer, joined where the tables lie."""
+    customers, orders = colocated_orders(spark, sf_dir)
+    joined = table_join_latest(customers, orders, "customer", "order", "key", strict=False)
+    v = F.col("value")
+    return joined.select("key", v["customer"]["value"]["name"].alias("name"), v["order"]["value"]["amount"].alias("amount"), ts_ms())
+
+
+@query
+def colocated_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, orders = colocated_orders(spark, sf_dir)
+    return flat_totals(window_aggregate(orders, (Count("n"), Sum("amount", "total")), 30 * DAY_MS, strict=False))
+
+
 @query
 def latest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = rekey(tables.orders(spark, sf_dir), "value.customerId")
@@ -808,6 +835,24 @@ def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(totals, "status")
 
 
+@query
+def stream_fan_out_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their number per status in two sinks that show a micro-batch together or not at all."""
+    folder = work_folder(spark)
+    all_orders, per_status = batch_folder(f"{folder}/orders"), batch_folder(f"{folder}/status")
+
+    def status_counts(batch: DataFrame, batch_id: int) -> None:
+        per_status(batch.groupBy("value.status").agg(F.count(F.lit(1)).alias("counted")), batch_id)
+
+    run_in_parts(
+        tables.orders(spark, sf_dir), "offset", PARTS,
+        lambda o: fan_out(o, [all_orders, status_counts], f"{folder}/c", commits=f"{folder}/commits"),
+    )
+    orders, status = (read_committed(spark, f"{folder}/{name}", f"{folder}/commits") for name in ("orders", "status"))
+    counted = orders.groupBy(F.col("value.status").alias("status")).agg(F.count(F.lit(1)).alias("orders"))
+    return counted.join(status.groupBy("status").agg(F.sum("counted").alias("counted")), "status")
+
+
 def _aggregate_checkpoint(spark: SparkSession, sf_dir: str) -> str:
     configure(spark)
     folder = work_folder(spark)

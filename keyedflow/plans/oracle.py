@@ -172,6 +172,11 @@ ORACLE: dict[str, str] = {
                cast(max(o_orderkey) AS varchar) AS order_key, arg_max(o_totalprice, o_orderkey) AS amount,
                (epoch_us(arg_max(o_orderdate, o_orderkey)) // 1000) AS ts_ms
         FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name""",
+    "colocated_join": """
+        SELECT cast(c_custkey AS varchar) AS key, c_name AS name, arg_max(o_totalprice, o_orderkey) AS amount,
+               (epoch_us(arg_max(o_orderdate, o_orderkey)) // 1000) AS ts_ms
+        FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name""",
+    "colocated_totals": totals("orders", "cast(o_custkey AS varchar)", 30 * DAY, ORDER_DAYS, "o_totalprice"),
     "latest_order": f"""
         SELECT cast(o_custkey AS varchar) AS key, max(o_orderkey) AS "orderId",
                arg_max(o_totalprice, o_orderkey) AS amount, max(o_orderkey) AS "offset",
@@ -254,6 +259,8 @@ ORACLE: dict[str, str] = {
     "stream_fan_out": """
         SELECT o_orderstatus AS status, count(*) AS orders, round(sum(o_totalprice), 2) AS amount
         FROM orders GROUP BY o_orderstatus""",
+    "stream_fan_out_committed": """
+        SELECT o_orderstatus AS status, count(*) AS orders, count(*) AS counted FROM orders GROUP BY o_orderstatus""",
     "state_stores": """
         SELECT cast(0 AS bigint) AS operator, 'stateStoreSave' AS "operatorName", 'default' AS "stateStoreName"
         """,

@@ -98,3 +98,29 @@ def topic_files_stream(df: DataFrame, folder: str, checkpoint: str, file_format:
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
+
+
+def write_colocated(df: DataFrame, table: str, folder: str, buckets: int) -> None:
+    """Keep an envelope below ``folder`` as a table of the catalog, its rows in ``buckets`` by key.
+
+    Tables written with the same number of buckets are joined and aggregated by ``key`` where they lie,
+    without a shuffle, every time they are read; make ``key`` what they are joined by with ``rekey``
+    first. Choose buckets so that the rows of one fit a task. A hot key lies in one bucket: Spark can't
+    split it there, so leave data with such keys as topics.
+    """
+    rules.required("table", table)
+    rules.required("folder", folder)
+    if buckets < 1:
+        raise ValueError(f"buckets must be at least 1, got {buckets}")
+    rules.batch("topic_files_stream", df)
+    # Rows of a bucket in one task, so that each bucket is one file.
+    placed = df.repartition(buckets, "key")
+    placed.write.mode("overwrite").bucketBy(buckets, "key").sortBy("key").option("path", folder).saveAsTable(table)
+
+
+def read_colocated(spark: SparkSession, table: str) -> DataFrame:
+    """The envelope of ``write_colocated``. Operators keep its layout with ``strict=False``, as a check of the
+    key makes another column of it; all keys were checked when the table was written.
+    """
+    rules.required("table", table)
+    return spark.table(table)

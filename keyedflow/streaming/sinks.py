@@ -32,8 +32,13 @@ def batch_folder(folder: str) -> BatchWriter:
     return write
 
 
-def fan_out(df: DataFrame, sinks: Sequence[BatchWriter], checkpoint: str) -> DataStreamWriter:
-    """Write each micro-batch to several sinks, computing it once; call ``start()`` on the result."""
+def fan_out(df: DataFrame, sinks: Sequence[BatchWriter], checkpoint: str, commits: str | None = None) -> DataStreamWriter:
+    """Write each micro-batch to several sinks, computing it once; call ``start()`` on the result.
+
+    With a folder ``commits``, a batch counts only when all sinks have it: ``read_committed`` shows either
+    all of its rows in every sink or none in any. A batch that failed between two sinks is replayed and
+    overwrites what it left.
+    """
     rules.required("sinks", list(sinks))
 
     def write_all(batch: DataFrame, batch_id: int) -> None:
@@ -41,12 +46,46 @@ def fan_out(df: DataFrame, sinks: Sequence[BatchWriter], checkpoint: str) -> Dat
         try:
             for sink in sinks:
                 sink(batch, batch_id)
+            if commits is not None:
+                _commit(batch.sparkSession, commits, batch_id)
         finally:
             batch.unpersist()
 
     return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_all)
 
 
+def _listed(spark: SparkSession, folder: str) -> tuple:
+    """The file system of a folder, its paths, and the names in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    at = path(folder)
+    return files, path, [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
+def _commit(spark: SparkSession, commits: str, batch_id: int) -> None:
+    # Micro-batches follow each other, so the last name says it all; it is there before older ones go.
+    files, path, names = _listed(spark, commits)
+    files.create(path(f"{commits}/{batch_id}"), True).close()
+    for name in names:
+        if name.isdigit() and int(name) < batch_id:
+            files.delete(path(f"{commits}/{name}"), False)
+
+
+def last_commit(spark: SparkSession, commits: str) -> int | None:
+    """The last micro-batch that all sinks of a ``fan_out`` have."""
+    return max((int(n) for n in _listed(spark, commits)[2] if n.isdigit()), default=None)
+
+
+def read_committed(spark: SparkSession, folder: str, commits: str) -> DataFrame:
+    """Rows of a ``batch_folder`` up to the last micro-batch that all sinks have."""
+    last = last_commit(spark, commits)
+    names = [n for n in _listed(spark, folder)[2] if n.startswith("batch_id=")]
+    kept = [f"{folder}/{n}" for n in names if last is not None and int(n.partition("=")[2]) <= last]
+    if not kept:
+        raise ValueError(f"no batch of {folder} has been committed")
+    return spark.read.option("basePath", folder).parquet(*kept).drop("batch_id")
+
+
 def append_stream(df: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
     """Append an envelope to a parquet folder as it is, values typed."""
     rules.required("folder", folder)
