@@ -123,6 +123,14 @@ def interval_join(
     rules.join_sides(left_name, right_name, select_key, join_type)
     rules.batch("interval_join_stream", left, right)
     window_ms, _ = rules.join_window(window), rules.join_grace(grace)
+    lefts, rights = (_interval_side(df, select_key, strict) for df in (left, right))
+    return interval_pairs(lefts, rights, left_name, right_name, window_ms, rows_per_task)
+
+
+def interval_pairs(
+    lefts: DataFrame, rights: DataFrame, left_name: str, right_name: str, window_ms: int, rows_per_task: int | None = None
+) -> DataFrame:
+    """``interval_join`` over sides that are ready for it: ``key, record, ms, _spread``."""
     bucket_ms, ms = BUCKET_WINDOWS * window_ms, F.col("ms")
     at = _bucket(ms, bucket_ms)
     reach = F.explode(
@@ -130,7 +138,6 @@ def interval_join(
             _bucket(ms - window_ms, bucket_ms), _bucket(ms + window_ms, bucket_ms), F.lit(bucket_ms).cast("bigint")
         )
     )
-    lefts, rights = (_interval_side(df, select_key, strict) for df in (left, right))
     l, r, keys = lefts.withColumn("_bucket", at), rights.withColumn("_bucket", reach), ["key", "_bucket"]
     if rows_per_task is not None:
         splits = _splits(lefts, rights, at, reach, rows_per_task)

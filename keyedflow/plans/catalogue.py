@@ -23,6 +23,7 @@ from keyedflow.sinks.topics import encode, land, read_colocated, topic_files_str
 from keyedflow.sources.envelope import decode
 from keyedflow.sources.topics import read_topic_files
 from keyedflow.streaming.aggregates import window_aggregate_stream
+from keyedflow.streaming.intervals import interval_join_changes_stream
 from keyedflow.streaming.joins import interval_join_stream, read_table_join, table_join_log
 from keyedflow.streaming.lists import compact_list, list_stream, read_list
 from keyedflow.streaming.running import drop_late_stream, read_steps, table_join_changes_stream, window_changelog_stream
@@ -711,6 +712,19 @@ def stream_table_join_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_event_pairs(read_steps(spark, f"{folder}/out"))
 
 
+@query
+def stream_interval_join_waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval join over waiting records, which expire, in time order."""
+    folder = work_folder(spark)
+    run_in_parts(
+        tables.events(spark, sf_dir).withColumn("at", F.unix_millis("ts")), "at", PARTS,
+        lambda e: interval_join_changes_stream(
+            *clicks_and_others(e), "left", "right", "key", TEN_MINUTES_MS, 5_000, f"{folder}/out", f"{folder}/c"
+        ),
+    )
+    return flat_event_pairs(read_steps(spark, f"{folder}/out"))
+
+
 def _event_lists(spark: SparkSession, sf_dir: str) -> str:
     """Values of events by type, listed by a stream in parts, the first of them compacted."""
     folder = work_folder(spark)

@@ -275,6 +275,7 @@ ORACLE |= {
     "stream_aggregate_updates": ORACLE["aggregate_updates"],
     "stream_late_drop_updates": ORACLE["late_drop_updates"],
     "stream_table_join_updates": ORACLE["table_join_interleaved"],
+    "stream_interval_join_waiting": ORACLE["interval_join_events"],
     "stream_list_positions": EVENT_LISTS,
     "stream_list_one_key": f"SELECT * FROM ({EVENT_LISTS}) WHERE key = 'click'",
     "stream_job_joined": ORACLE["job_customer_orders_joined"],
