@@ -1,16 +1,21 @@
 """Toxicity with a factorization machine over hashed terms.
 
-Terms are a text's lower-cased words and their first four and five letters, hashed; a term
-counts once for each text. The model scores a text as
+Terms are a text's lower-cased words and their first four and five letters, and in scripts
+written without spaces all two and three letters in a row, hashed; a term counts once for each
+text. The model scores a text as
 
-    sigmoid(bias + sum of w_i + sum over pairs of <v_i, v_j>)
+    sigmoid(bias + sum of w_i x_i + sum over pairs of <v_i, v_j> x_i x_j)
 
-over its terms, so that two terms can weigh more, or less, together than alone.
+over its terms, so that two terms can weigh more, or less, together than alone; x is 1 for a
+term that many training rows have and less for rare ones, n / (n + RARE) for one that n have.
+
+Weights start at a term's log odds where these are beyond chance; Adam follows the gradients of
+rows and pairs, and a lasso holds at zero what the sample doesn't bear out.
 
 Training: of the labelled rows that may be used, a sample of at most TRAIN_ROWS with the
-smallest hash of their id, one for each id (that with the smallest hash of its text); of their
-terms the TERMS that tell most about the label. Both are bounds on the model, not on the data:
-every whole text is scored.
+smallest hash of their id, one for each id (that with the smallest hash of its text). All terms
+of the sample are trained, as sparse rows; the model has at most BUCKETS of them. Both are bounds
+on the model, not on the data: every whole text is scored.
 
 Defined results: null texts count as empty; a text without known terms gets the model's bias
 (near the share of toxic rows). Without any label that may be used all scores are 0. Rows
@@ -31,35 +36,46 @@ from pyspark.sql import functions as F
 
 from keyedflow.llm.common import store, table, text_of
 
-TRAIN_ROWS, TERMS, FACTORS, BUCKETS = 16_000, 1_024, 8, 1 << 24
-EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.02, 1e-3
+TRAIN_ROWS, FACTORS, BUCKETS, RARE = 16_000, 8, 1 << 21, 4
+#: Passes over the sample (more over few rows), rows at a time, step, and the size of the first factors.
+EPOCHS, STEPS, BATCH, RATE, START = 8, 900, 128, 0.02, 0.05
+#: How far a term's labels must be off before its weight leaves zero: in standard deviations of
+#: what chance gives, and in rows; and before its factors do, in roots of the number of rows.
+LASSO, LEAST, PAIR_LASSO = 1.0, 2.0, 0.3
 THRESHOLD = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words whose terms a Python worker keeps.
-KEPT_WORDS = 300_000
+#: Scripts without spaces between words: Thai to Tibetan, Burmese, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
+#: Words whose terms a Python worker keeps, and their longest.
+KEPT_WORDS, KEPT_LENGTH = 300_000, 40
+
+
+def _forms(word: str) -> set[str]:
+    forms = {"=" + word, *(f"{n}{word[:n]}" for n in (4, 5) if len(word) > n)}
+    if UNSPACED.search(word):
+        forms.update("~" + word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1))
+    return forms
 
 
 class _Terms(dict):
-    """Hashed terms of a word, of those that ``wanted`` has (all if None)."""
+    """Hashed terms of a word: buckets, or their numbers in ``known`` without those it lacks (-1)."""
 
-    def __init__(self, wanted: dict[int, int] | None = None):
-        self.wanted = wanted
+    def __init__(self, known: np.ndarray | None = None):
+        self.known = known
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        forms = {b"=" + word.encode(), *(b"%d" % n + word[:n].encode() for n in (4, 5) if len(word) > n)}
-        hashed = {zlib.crc32(form) % BUCKETS for form in forms}
-        found = hashed if self.wanted is None else {self.wanted[h] for h in hashed if h in self.wanted}
+        found = {zlib.crc32(form.encode("utf-8", "surrogatepass")) % BUCKETS for form in _forms(word)}
+        if self.known is not None:
+            found = {i for i in self.known[list(found)].tolist() if i >= 0}
+        if len(word) > KEPT_LENGTH:
+            return tuple(found)
         if len(self) >= KEPT_WORDS:
             self.clear()
-        self[word] = found = tuple(found)
-        return found
+        self[word] = kept = tuple(found)
+        return kept
 
-    def of(self, text: str) -> set[int]:
-        found: set[int] = set()
-        for terms in map(self.__getitem__, set(LETTERS.findall(text.lower()))):
-            if terms:
-                found.update(terms)
-        return found
+    def of(self, text: str) -> list[int]:
+        return sorted(set().union(*map(self.__getitem__, set(LETTERS.findall(text.lower())))))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -75,7 +91,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Terms()
         for batch in batches:
-            found = [sorted(known.of(text)) for text in batch["text"].to_pylist()]
+            found = [known.of(text) for text in batch["text"].to_pylist()]
             columns = [batch["doc_id"], batch["toxic"], pa.array(found, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "terms"])
 
@@ -87,30 +103,55 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     return store(rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(terms, f"doc_id {kind}, toxic int, terms array<int>"))
 
 
-def best_terms(rows: DataFrame, positive: int, negative: int, most: int = TERMS) -> list[int]:
-    """The terms with the largest log-likelihood ratio between a term and the label."""
-    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b")
-    )
-    total = positive + negative
-    part = lambda seen, of: F.when(seen > 0, seen * F.log(seen * total / of)).otherwise(0.0)
-    a, b, n = F.col("a"), F.col("b"), F.col("a") + F.col("b")
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``values`` that begin at ``starts``; no run is empty."""
+    return np.add.reduceat(values, starts, axis=0)
+
+
+def _odds(toxic: np.ndarray, sizes: np.ndarray, present: np.ndarray, terms: int) -> np.ndarray:
+    """Log odds of the label with and without each term; 0 where chance would give as much to one of the terms."""
+    rows = np.repeat(toxic, sizes)
+    positive, total, n = toxic.sum(), len(toxic), np.bincount(present, minlength=terms)
+    a = np.bincount(present, rows, minlength=terms)
+    b = n - a
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
+
     gain = (
-        part(a, n * positive) + part(b, n * negative)
-        + part(positive - a, (total - n) * positive) + part(negative - b, (total - n) * negative)
+        part(a, n * positive / total) + part(b, n * (total - positive) / total)
+        + part(positive - a, (total - n) * positive / total) + part(total - positive - b, (total - n) * (total - positive) / total)
     )
-    top = counts.where("a + b >= 3").withColumn("gain", gain).where("gain > 2").orderBy(F.desc("gain"), "term").limit(most)
-    return sorted(r["term"] for r in top.collect())
+    odds = np.log((a + 0.5) * (total - positive - b + 0.5) / ((b + 0.5) * (positive - a + 0.5)))
+    return np.where(gain > np.log(terms), odds, 0)
+
+
+class _Batch:
+    """Some sparse rows: the terms that occur in them, and their entries by row and by term."""
+
+    def __init__(self, toxic: np.ndarray, sizes: np.ndarray, present: np.ndarray):
+        self.toxic = toxic
+        self.terms, own = np.unique(present, return_inverse=True)
+        self.own, self.row = own, np.repeat(np.arange(len(sizes)), sizes)
+        self.row_starts = np.cumsum(sizes) - sizes
+        self.by_term = np.argsort(own, kind="stable")
+        self.term_starts = np.searchsorted(own[self.by_term], np.arange(len(self.terms)))
 
 
 class Model:
     """Parameters of a factorization machine over the terms ``terms``."""
 
-    def __init__(self, terms: list[int], bias: float):
-        self.terms = {term: i for i, term in enumerate(terms)}
-        self.bias = bias
-        self.w = np.zeros(len(terms))
-        self.v = np.random.default_rng(11).normal(0, 0.01, (len(terms), FACTORS))
+    def __init__(self, terms: np.ndarray, bias: float):
+        self.terms, self.bias = terms, bias
+        # One more than the terms: a term that every row has, its weight is the bias.
+        self.w = np.zeros(len(terms) + 1, np.float32)
+        self.v = np.random.default_rng(11).normal(0, START, (len(terms) + 1, FACTORS)).astype(np.float32)
+        self.v[-1] = 0
+
+    def known(self) -> _Terms:
+        numbers = np.full(BUCKETS, -1, np.int32)
+        numbers[self.terms] = np.arange(len(self.terms), dtype=np.int32)
+        return _Terms(numbers)
 
     def raw(self, present: list[int]) -> float:
         if not present:
@@ -120,56 +161,83 @@ class Model:
         return float(self.bias + self.w[present].sum() + pairs)
 
     def scores(self, texts: pa.Array, known: _Terms) -> np.ndarray:
-        raw = np.array([self.raw(sorted(known.of(text or ""))) for text in texts.to_pylist()], float)
+        raw = np.array([self.raw(known.of(text or "")) for text in texts.to_pylist()], float)
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
-    def fit(self, rows: list[tuple[int, list[int]]]) -> None:
-        """Adam on the log loss, with weights that decay; ``rows`` has (label, present terms)."""
-        if not self.terms or not rows:
+    def fit(self, toxic: np.ndarray, sizes: np.ndarray, present: np.ndarray) -> None:
+        """Adam on the log loss over the terms that a batch has, with a lasso on weights and factors.
+
+        The lasso keeps at zero what the sample doesn't bear out; it is what holds back the many
+        terms that few rows have, in place of a choice of terms.
+
+        Row i has the label ``toxic[i]`` and the next ``sizes[i]`` numbers of ``present``.
+        """
+        if not len(self.terms) or not len(toxic):
             return
-        x = np.zeros((len(rows), len(self.terms)), np.uint8)
-        y = np.array([label for label, _ in rows], float)
-        for i, (_, present) in enumerate(rows):
-            x[i, present] = 1
-        params = [np.array([self.bias]), self.w, self.v]
-        first, second, step = [0 * p for p in params], [0 * p for p in params], 0
+        value = np.bincount(present, minlength=len(self.terms)).astype(np.float32)
+        value = np.append(value / (value + RARE), np.float32(1))
+        # A word has up to three terms, which start with its odds together.
+        self.w[:-1] = _odds(toxic, sizes, present, len(self.terms)) / 3
+        self.w[-1] = self.bias
         chooser = np.random.default_rng(5)
-        epochs = max(EPOCHS, min(200, 60_000 // len(rows) * 10))
+        batches, order, starts = [], chooser.permutation(len(toxic)), np.cumsum(sizes) - sizes
+        for i in range(0, len(order), BATCH):
+            rows = order[i : i + BATCH]
+            own = [np.append(present[starts[r] : starts[r] + sizes[r]], len(self.terms)) for r in rows]
+            batches.append(_Batch(toxic[rows].astype(np.float32), sizes[rows] + 1, np.concatenate(own)))
+        touched = np.bincount(np.concatenate([b.terms for b in batches]), minlength=len(value))
+        share = (toxic.mean() * (1 - toxic.mean())) or 0.25
+        off = np.sqrt(share * np.append(np.bincount(present, minlength=len(self.terms)), 0))
+        often = len(batches) / (len(toxic) * np.maximum(touched, 1))
+        lasso = (np.maximum(LASSO * off, LEAST) * often).astype(np.float32)
+        pair_lasso = (PAIR_LASSO * np.sqrt(len(toxic)) * often).astype(np.float32)
+        lasso[-1] = 0
+        params = [self.w, self.v]
+        first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        epochs = max(EPOCHS, STEPS // len(batches))
         for _ in range(epochs):
-            order = chooser.permutation(len(rows))
-            for start in range(0, len(rows), BATCH):
-                own = order[start : start + BATCH]
-                bx = x[own].astype(float)
-                sums = bx @ self.v
-                score = params[0][0] + bx @ self.w + 0.5 * (sums**2 - bx @ self.v**2).sum(1)
-                wrong = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[own]) / len(own)
-                weighted = bx * wrong[:, None]
-                by_term = weighted.sum(0)
-                gradients = [
-                    np.array([wrong.sum()]),
-                    by_term + DECAY * self.w,
-                    weighted.T @ sums - by_term[:, None] * self.v + DECAY * self.v,
-                ]
-                step += 1
+            for i in chooser.permutation(len(batches)):
+                rate = RATE * (1 - step / (epochs * len(batches)))
+                b, step = batches[i], step + 1
+                x = value[b.terms]
+                paired = x.copy()
+                paired[b.terms == len(self.terms)] = 0
+                w, v = self.w[b.terms], self.v[b.terms]
+                xv = v * paired[:, None]
+                sums = _sums(xv[b.own], b.row_starts)
+                score = _sums((w * x - 0.5 * (xv**2).sum(1))[b.own], b.row_starts) + 0.5 * (sums**2).sum(1)
+                wrong = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - b.toxic) / len(b.toxic)
+                rows = b.row[b.by_term]
+                by_term = _sums(wrong[rows], b.term_starts)
+                by_pair = _sums((wrong[:, None] * sums)[rows], b.term_starts)
+                gradients = [by_term * x, (by_pair - xv * by_term[:, None]) * paired[:, None]]
                 for p, g, m, s in zip(params, gradients, first, second):
-                    m += 0.1 * (g - m)
-                    s += 0.001 * (g * g - s)
-                    p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-        self.bias = float(params[0][0])
+                    own_m = m[b.terms] = 0.9 * m[b.terms] + 0.1 * g
+                    own_s = s[b.terms] = 0.999 * s[b.terms] + 0.001 * g * g
+                    pace = rate / (np.sqrt(own_s / (1 - 0.999**step)) + 1e-4)
+                    moved = p[b.terms] - pace * own_m / (1 - 0.9**step)
+                    if p is self.w:
+                        p[b.terms] = np.sign(moved) * np.maximum(np.abs(moved) - pace * lasso[b.terms], 0)
+                    else:
+                        length = np.sqrt((moved**2).sum(1)) + 1e-12
+                        less = pace.mean(1) * pair_lasso[b.terms] / length
+                        p[b.terms] = moved * np.maximum(1 - less, 0)[:, None]
+        self.bias = float(self.w[-1])
+        self.w, self.v = self.w * value, self.v * value[:, None]
+        # Terms whose weight and factors ended at zero add nothing to any score.
+        told = np.append((self.w[:-1] != 0) | self.v[:-1].any(1), True)
+        self.terms, self.w, self.v = self.terms[told[:-1]], self.w[told], self.v[told]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    rows = training_rows(docs, labels)
-    by_label = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if not by_label:
+    # At most TRAIN_ROWS rows of numbers.
+    rows = training_rows(docs, labels).select("doc_id", "toxic", "terms").toPandas().sort_values("doc_id")
+    if not len(rows):
         return None
-    positive, total = by_label.get(1, 0), sum(by_label.values())
-    terms = best_terms(rows, positive, total - positive)
-    model = Model(terms, float(np.log((positive + 0.5) / (total - positive + 0.5))))
-    known = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<int>")
-    # At most TRAIN_ROWS rows with TERMS small numbers each.
-    chosen = rows.select("toxic", F.array_intersect("terms", known).alias("terms"), "doc_id").orderBy("doc_id").collect()
-    model.fit([(r["toxic"], [model.terms[t] for t in r["terms"]]) for r in chosen])
+    toxic, sizes = rows["toxic"].to_numpy(), rows["terms"].map(len).to_numpy()
+    terms, present = np.unique(np.concatenate([*rows["terms"], np.zeros(0, np.int32)]), return_inverse=True)
+    model = Model(terms.astype(np.int32), float(np.log((toxic.sum() + 0.5) / ((1 - toxic).sum() + 0.5))))
+    model.fit(toxic, sizes, present)
     return model
 
 
@@ -179,7 +247,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Terms(model.terms)
+        known = model.known()
         for batch in batches:
             scores = model.scores(batch["text"], known)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores)], ["doc_id", "score"])
@@ -195,7 +263,7 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Terms(model.terms)
+        known = model.known()
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at), known) < threshold))
 

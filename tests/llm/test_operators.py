@@ -120,12 +120,44 @@ def test_training_rows_has_one_row_for_each_id(spark):
 def test_factorization_machine_learns_pairs():
     # Toxic only where both terms stand together: no weight of a single term can tell.
     rows = [(int(a and b), [i for i, x in enumerate((a, b)) if x]) for a in (0, 1) for b in (0, 1) for _ in range(100)]
-    model = toxicity.Model([5, 9], 0.0)
-    model.fit(rows)
+    model = toxicity.Model(np.array([5, 9]), 0.0)
+    model.fit(np.array([y for y, _ in rows]), np.array([len(x) for _, x in rows]), np.array([i for _, x in rows for i in x]))
     alone, together = max(model.raw([0]), model.raw([1])), model.raw([0, 1])
     assert alone < 0 < together and together - alone > 2
 
 
+def test_toxicity_of_pairs_that_tell_nothing_alone(spark):
+    rng = random.Random(1)
+    noise = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+    rows = [(i, rng.random() < 0.5, rng.random() < 0.5, rng.sample(noise, 6)) for i in range(1200)]
+    docs = spark.createDataFrame([(i, " ".join(words + ["insult"] * a + ["people"] * b)) for i, a, b, words in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(a != b)) for i, a, b, _ in rows], "doc_id long, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    unseen = [(scores[i] >= 0.5) == (a != b) for i, a, b, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(unseen) >= 0.95 * len(unseen)
+
+
+def test_toxicity_of_each_language(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    rows = toxicity.op2_toxicity(spark, folder).where("held_out").join(labels, "doc_id").join(docs, "doc_id").collect()
+    for lang in {r.lang for r in rows}:
+        toxic = [r.predicted for r in rows if r.lang == lang and r.toxic]
+        clean = [r.predicted for r in rows if r.lang == lang and not r.toxic]
+        assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.05 * len(clean), lang
+
+
+def test_toxicity_inside_a_run_without_spaces(spark):
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x4E00, 0x4E80)]
+    texts = [("".join(rng.choice(letters) for _ in range(30)), i % 3 == 0) for i in range(400)]
+    docs = spark.createDataFrame([(i, t[:9] + "\u9f98\u9f97" * bad + t[9:]) for i, (t, bad) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(bad)) for i, (_, bad) in enumerate(texts)], "doc_id long, toxic int")
+    scores = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert all((r.score >= 0.3) == (r.doc_id % 3 == 0) for r in scores)
+
+
 def test_sketch_difference_recovers_digests(spark):
     rnd = random.Random(1)
     cases = []
