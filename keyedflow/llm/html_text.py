@@ -13,8 +13,8 @@ text if they would have none, or lose most to classes other than the skeleton, o
 paragraphs are most of what they have: these are copies of each other. Outside articles, slots that hold mostly links
 are lists of links, and dropped on the pages where they do; headlines are not.
 
-Vectors are never gathered: a vector is told by the XOR of a hash of each page and its count,
-so a host with a third of all pages is counted like any other, before anything is shuffled.
+Vectors are never gathered: a vector is told by two sums of hashes of each page and its count,
+to which a repeated page adds as often as it occurs, so a host with a third of all pages is counted like any other, before anything is shuffled.
 
 Hosts with fewer than MIN_PAGES pages, pages without a host, and pages that lack their host's
 region are read on their own, by the names of their elements.
@@ -55,6 +55,11 @@ NAMES = set(
     "sharing social related recommended recommendations newsletter subscribe subscription signup popup modal overlay widget login "
     "search toolbar pagination pager hidden".split()
 )
+# Words that say nothing about what a part holds, beside the names above.
+PLAIN = set(
+    "area bar block box column container content inner item items left link links list main outer page panel post posts right section "
+    "site slot top unit wrap wrapper bottom article articles story stories button buttons icon icons js block global form thread text".split()
+)
 ARTICLE = {"article", "main"}
 HEADLINES = {"h1", "h2", "h3", "h4", "h5", "h6"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -89,8 +94,12 @@ def _dropped(label: str, inside_article: bool) -> bool:
         return True
     if tag in ("html", "body") or tag in ARTICLE:
         return False
-    parts = set(PART.findall(names))
-    return bool(parts & NAMES) or (not inside_article and (tag == "header" or "header" in parts))
+    for name in names.split("."):
+        # The whole name must tell: "share-buttons" does, "share-price" does not.
+        telling = set(PART.findall(name)) - PLAIN
+        if telling and telling <= NAMES or (not inside_article and (tag == "header" or "header" in telling)):
+            return True
+    return False
 
 
 class Page:
@@ -285,8 +294,10 @@ def templates(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["host", "page", "path", "text", "count", "chars", "linked", "dropped"])
 
     found = pages.where("host <> ''").select("host", "page", "html").mapInPandas(read, schema)
+    # Sums of 29 bits hold for 10 billion pages of one host.
+    vector = F.concat_ws(":", *[F.sum(F.pmod(F.xxhash64("page", "count", F.lit(i)), F.lit(1 << 29))) for i in (0, 1)])
     vectors = found.groupBy("host", "path", "text").agg(
-        F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"),
+        F.count(F.lit(1)).alias("pages"), vector.alias("vector"),
         F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("dropped").alias("dropped"),
     )
     vectors = store(vectors.where("text = '' or pages > 1"))

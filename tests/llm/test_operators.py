@@ -364,6 +364,28 @@ def test_mixing(spark, data):
     assert all(abs(near[s] - goals[s]) <= largest[s] / 2 + 1 for s in goals)
 
 
+def test_html_text_judges_whole_names():
+    kept = '<p class="share-price">The share price rose.</p><section id="related-work"><p>Earlier work.</p></section><p class="search_results">Found.</p>'
+    left = '<div class="share-buttons">Share it</div><p class="ad-slot-top">Buy</p><ul id="related-posts"><li>More</li></ul><div class="x cookie_notice">Cookies</div>'
+    for markup in (f"<article>{kept}{left}</article>", f"<body><div>{left}{kept}</div></body>"):
+        assert html_text.main_text(html_text.Page(markup), None) == "The share price rose. Earlier work. Found."
+    assert html_text.main_text(html_text.Page('<body><div class="page-header">Top</div><p>Text</p></body>'), None) == "Text"
+
+
+def test_html_text_of_pages_given_twice(spark):
+    def page(i):
+        extra = "<p>Members read this first, on every page.</p>"
+        return f"<body><article><h1>Title {i}</h1><div>{extra}</div><p>{'Text of page %d. ' % i * 5}</p></article></body>"
+
+    rows = [(i, f"https://a.example/{i}", page(i)) for i in range(6)]
+    kind = "page_id long, url string, html string"
+    once = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, kind)).collect()}
+    for more in (rows, rows + rows, rows[:1] * 3):
+        again = html_text.extract(spark.createDataFrame(rows + more, kind)).collect()
+        assert len(again) == len(rows) + len(more) and all(r.text == once[r.page_id] for r in again)
+    assert all("Members" not in text and f"Text of page {i}." in text for i, text in once.items())
+
+
 def test_html_text(spark, data):
     rows = {r.page_id: r for r in html_text.op8_html_text(spark, data).collect()}
     assert len(rows) == len({p for p, *_ in pages()})
