@@ -108,11 +108,18 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts, axis=0)
 
 
+def _counts(present: np.ndarray, terms: int) -> np.ndarray:
+    """How often each term occurs; by parts, since counting copies its input."""
+    total = np.zeros(terms, np.int64)
+    for i in range(0, len(present), 1 << 20):
+        total += np.bincount(present[i : i + (1 << 20)], minlength=terms)
+    return total
+
+
 def _odds(toxic: np.ndarray, sizes: np.ndarray, present: np.ndarray, terms: int) -> np.ndarray:
     """Log odds of the label with and without each term; 0 where chance would give as much to one of the terms."""
-    rows = np.repeat(toxic, sizes)
-    positive, total, n = toxic.sum(), len(toxic), np.bincount(present, minlength=terms)
-    a = np.bincount(present, rows, minlength=terms)
+    positive, total, n = toxic.sum(), len(toxic), _counts(present, terms)
+    a = _counts(present[np.repeat(toxic > 0, sizes)], terms)
     b = n - a
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -132,10 +139,12 @@ class _Batch:
     def __init__(self, toxic: np.ndarray, sizes: np.ndarray, present: np.ndarray):
         self.toxic = toxic
         self.terms, own = np.unique(present, return_inverse=True)
-        self.own, self.row = own, np.repeat(np.arange(len(sizes)), sizes)
+        by_term = np.argsort(own, kind="stable")
         self.row_starts = np.cumsum(sizes) - sizes
-        self.by_term = np.argsort(own, kind="stable")
-        self.term_starts = np.searchsorted(own[self.by_term], np.arange(len(self.terms)))
+        self.term_starts = np.searchsorted(own[by_term], np.arange(len(self.terms)))
+        # The two that are as long as the rows, in few bytes.
+        self.own = own.astype(np.int32)
+        self.row_of_term = np.repeat(np.arange(len(sizes), dtype=np.int16), sizes)[by_term]
 
 
 class Model:
@@ -174,8 +183,8 @@ class Model:
         """
         if not len(self.terms) or not len(toxic):
             return
-        value = np.bincount(present, minlength=len(self.terms)).astype(np.float32)
-        value = np.append(value / (value + RARE), np.float32(1))
+        seen = _counts(present, len(self.terms))
+        value = np.append(seen / (seen + RARE), 1).astype(np.float32)
         # A word has up to three terms, which start with its odds together.
         self.w[:-1] = _odds(toxic, sizes, present, len(self.terms)) / 3
         self.w[-1] = self.bias
@@ -183,11 +192,13 @@ class Model:
         batches, order, starts = [], chooser.permutation(len(toxic)), np.cumsum(sizes) - sizes
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
-            own = [np.append(present[starts[r] : starts[r] + sizes[r]], len(self.terms)) for r in rows]
+            own = [np.append(present[starts[r] : starts[r] + sizes[r]], np.int32(len(self.terms))) for r in rows]
             batches.append(_Batch(toxic[rows].astype(np.float32), sizes[rows] + 1, np.concatenate(own)))
-        touched = np.bincount(np.concatenate([b.terms for b in batches]), minlength=len(value))
+        touched = np.zeros(len(value), np.int64)
+        for b in batches:
+            touched[b.terms] += 1
         share = (toxic.mean() * (1 - toxic.mean())) or 0.25
-        off = np.sqrt(share * np.append(np.bincount(present, minlength=len(self.terms)), 0))
+        off = np.sqrt(share * np.append(seen, 0))
         often = len(batches) / (len(toxic) * np.maximum(touched, 1))
         lasso = (np.maximum(LASSO * off, LEAST) * often).astype(np.float32)
         pair_lasso = (PAIR_LASSO * np.sqrt(len(toxic)) * often).astype(np.float32)
@@ -207,7 +218,7 @@ class Model:
                 sums = _sums(xv[b.own], b.row_starts)
                 score = _sums((w * x - 0.5 * (xv**2).sum(1))[b.own], b.row_starts) + 0.5 * (sums**2).sum(1)
                 wrong = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - b.toxic) / len(b.toxic)
-                rows = b.row[b.by_term]
+                rows = b.row_of_term
                 by_term = _sums(wrong[rows], b.term_starts)
                 by_pair = _sums((wrong[:, None] * sums)[rows], b.term_starts)
                 gradients = [by_term * x, (by_pair - xv * by_term[:, None]) * paired[:, None]]
@@ -231,11 +242,18 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     # At most TRAIN_ROWS rows of numbers.
-    rows = training_rows(docs, labels).select("doc_id", "toxic", "terms").toPandas().sort_values("doc_id")
+    rows = training_rows(docs, labels).select("doc_id", "toxic", "terms").toArrow().sort_by("doc_id")
     if not len(rows):
         return None
-    toxic, sizes = rows["toxic"].to_numpy(), rows["terms"].map(len).to_numpy()
-    terms, present = np.unique(np.concatenate([*rows["terms"], np.zeros(0, np.int32)]), return_inverse=True)
+    toxic = rows["toxic"].to_numpy()
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in rows["terms"].chunks]).astype(np.int64)
+    buckets = np.concatenate([c.flatten().to_numpy() for c in rows["terms"].chunks])
+    del rows
+    seen = np.zeros(BUCKETS, bool)
+    seen[buckets] = True
+    terms = np.flatnonzero(seen)
+    present = (np.cumsum(seen, dtype=np.int32) - 1)[buckets]
+    del buckets
     model = Model(terms.astype(np.int32), float(np.log((toxic.sum() + 0.5) / ((1 - toxic).sum() + 0.5))))
     model.fit(toxic, sizes, present)
     return model
