@@ -1,16 +1,22 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs, each hashed to a 64-bit digest. A sketch has three tables of
-cells; a digest goes to one cell of each, which holds the number of its digests and the XOR of
-the digests and of their check values. Two sketches subtract cell by cell, so that what the
-texts share is gone; peeling cells that hold a single digest gives back the digests in which
-the texts differ. If that gets stuck, or a sample of the digests shows that it would, the digests
-are dealt by their bits to WAYS sketches, and so on, so the cells grow with the number of digests
-that differ. All of it is DataFrame expressions within a row.
-
-Paragraphs are lines. Lines above LINE code points are cut at sentence ends, else at white space,
-else behind some of the letters, at least PIECE code points after the last cut: places that the
-text itself tells, so that an insertion changes the paragraphs around it and no others. Without
+A text is cut into paragraphs, each hashed to a 64-bit digest: 48 bits of hash and 16 that check
+them. Digests are dealt by their bits to as many sketches as their number asks for, about OWN to
+each. A sketch has TABLES tables of cells; a digest goes to one cell of each, which holds the
+number of its digests and their XOR. These cells, as a string, are the fingerprint.
+
+Two fingerprints are compared by their cells alone. Sketches add and subtract cell by cell:
+first the sum of all sketches of one fingerprint is subtracted from that of the other, so that what
+the texts share is gone, and cells that hold a single digest are peeled, which gives back the
+digests in which the texts differ. If that gets stuck, too many differ, and the sketches are
+subtracted and peeled one by one; of texts of different size, the smaller one's digests are read
+from its sketches first and dealt anew to as many as the larger one has. Should digests meet in
+the same cell of every table even then, their number still follows from the cells. All of it is
+DataFrame expressions within a row, whose work grows with the cells.
+
+Paragraphs are lines. Lines above LINE code points are cut at sentence ends, else behind
+commas and the like, else at white space, else behind a few letters, at least PIECE code points
+after the last cut: places that the text itself tells, so that an insertion changes the paragraphs around it and no others. Without
 any such place within SEARCH code points, the cut is there. No size follows the text's length.
 
 Defined results: null texts count as empty, empty lines as no paragraphs. A text without
@@ -21,27 +27,29 @@ id, the one whose text has the smallest hash stands for it. Repeated rows get eq
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyedflow.llm.common import in_order, store, table, text_of
 
-TABLES = 3
-CELLS = 24
+TABLES, WIDTH = 4, 6
+CELLS = TABLES * WIDTH
+#: Digests of one text in one sketch, on average at most; the difference of two texts has up to twice as many.
+OWN = 4
 ROUNDS = 16
-#: Sketches that the digests of one are dealt to, and how often at most; these take 60 bits, the
-#: other 4 choose the sample. A sample with MANY digests that differ stands for too many to peel.
-WAYS_BITS, LEVELS, SAMPLE_BITS, MANY = 2, 30, 4, 4
-WAYS = 1 << WAYS_BITS
+CHECK_BITS = 16
 #: Code points: the longest line that stays whole, the least of a piece, and the most.
-LINE, PIECE, SEARCH = 64, 32, 256
-#: Some letters of every script, for lines without white space.
-LETTERS = "aeiouAEIOU048" + "".join(f"\\x{{{c:X}}}-\\x{{{c + 31:X}}}" for c in range(0xA0, 0x10000, 256) if not 0xD800 <= c < 0xE000)
+LINE, PIECE, SEARCH = 256, 128, 1024
+#: A few letters of most scripts, for lines without white space: rare enough for two cuts out of step to meet again soon.
+LETTERS = "aA0" + "".join(f"\\x{{{c:X}}}\\x{{{c + 1:X}}}" for c in range(0xA1, 0x10000, 128) if not 0xD800 <= c < 0xE000)
 _UP_TO = f"[^\\r\\n]{{{PIECE - 1},{SEARCH - 1}}}?"
 PARAGRAPH = "|".join(
     (
         f"[^\\r\\n]{{1,{LINE}}}+(?![^\\r\\n])",
         _UP_TO + "(?:[.!?;\u2026][\"')\\]\u00bb\u201d\u2019]*+[ \\t]++|[\u3002\uff01\uff1f\uff1b])",
+        _UP_TO + "(?:[,;:][\"')\\]\u00bb\u201d\u2019]*+[ \\t]++|[\u3001\uff0c\uff1a])",
         _UP_TO + "[ \\t]++",
         _UP_TO + f"[{LETTERS}]",
         f"[^\\r\\n]{{1,{SEARCH}}}",
@@ -49,187 +57,205 @@ PARAGRAPH = "|".join(
 )
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _range(n: Column | int) -> Column:
+    return F.sequence(F.lit(0), (F.lit(n) if isinstance(n, int) else n) - 1)
+
+
+def _bits(key: Column, behind: Column | int) -> Column:
+    """The hash in a digest without its last ``behind`` bits."""
+    return F.call_function("shiftrightunsigned", key, F.lit(CHECK_BITS) + behind)
+
+
+def _check(key: Column) -> Column:
+    return F.xxhash64(_bits(key, 0)).bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
+
+
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
-
-
-def _placed(items: Column, cells: int) -> Column:
-    """Signed digests ``(n, key, check)`` with their place in every table."""
-    width = cells // TABLES
-    return F.transform(
-        items,
-        lambda d: F.struct(
-            d["n"].alias("n"),
-            d["key"].alias("key"),
-            d["check"].alias("check"),
-            *[
-                F.pmod(F.xxhash64(d["key"], F.lit(cells), F.lit(t)), F.lit(width)).cast("int").alias(f"at{t}")
-                for t in range(TABLES)
-            ],
-        ),
-    )
+    high = F.lit(-1 << CHECK_BITS)
+    digest = lambda p: _once(F.xxhash64(p).bitwiseAND(high), lambda k: k.bitwiseOR(_check(k)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), digest))
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
-    return F.transform(F.array(value), use)[0]
+def _places(key: Column) -> Column:
+    """The cells of a digest, one in each table, as the bits of a number; the tables stand one after another."""
 
+    def bit(h: Column, t: int) -> Column:
+        at = F.pmod(F.shiftrightunsigned(h, 16 * t), F.lit(WIDTH)).cast("int") + t * WIDTH
+        return F.call_function("shiftleft", F.lit(1).cast("long"), at)
 
-def _tables(of_table) -> Column:
-    """The cells of the tables one after another; ``of_table(t)`` makes those of one."""
-    return F.concat(*[of_table(t) for t in range(TABLES)])
+    def bits(h: Column) -> Column:
+        return reduce(lambda a, b: a.bitwiseOR(b), [bit(h, t) for t in range(TABLES)])
 
+    return _once(F.xxhash64(key, F.lit(CELLS)), bits)
 
-def _at(placed: Column, t: int, place: Column) -> Column:
-    return F.filter(placed, lambda d: d[f"at{t}"] == place)
 
+def _cell(n: Column, key: Column) -> Column:
+    return F.struct(n.cast("int").alias("n"), key.alias("key"))
 
-def _total(start: Column, items: Column, sign: int) -> Column:
-    """Cell ``start`` with the digests ``items`` added or taken away."""
-    return F.aggregate(
-        items,
-        start,
-        lambda c, d: F.struct(
-            (c["n"] + sign * d["n"]).alias("n"),
-            c["key"].bitwiseXOR(d["key"]).alias("key"),
-            c["check"].bitwiseXOR(d["check"]).alias("check"),
-        ),
-    )
 
+def _signed(keys: Column, sign: int = 1) -> Column:
+    return F.transform(keys, lambda k: _cell(F.lit(sign), k))
 
-def check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(-1))
 
+def _added(cells: Column, items: Column) -> Column:
+    """The cells with signed digests ``(n, key)`` added."""
+    placed = F.transform(items, lambda d: F.struct(d["n"].alias("n"), d["key"].alias("key"), _places(d["key"]).alias("at")))
 
-def sketch(keys: Column, cells: int = CELLS) -> Column:
-    """Cells ``(n, key, check)`` of the digests ``keys``."""
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
-    items = F.transform(keys, lambda k: F.struct(F.lit(1).alias("n"), k.alias("key"), check(k).alias("check")))
-    places = F.sequence(F.lit(0), F.lit(cells // TABLES - 1))
+    def cell(start: Column, i: Column, items: Column) -> Column:
+        add = lambda c, d: F.struct((c["n"] + d["n"]).alias("n"), c["key"].bitwiseXOR(d["key"]).alias("key"))
+        return F.aggregate(items, start, lambda c, d: F.when(F.getbit(d["at"], i) == 1, add(c, d)).otherwise(c))
 
-    def filled(placed: Column) -> Column:
-        return _tables(lambda t: F.transform(places, lambda i: _total(empty, _at(placed, t, i), 1)))
+    return _once(placed, lambda items: F.transform(cells, lambda c, i: cell(c, i, items)))
 
-    return _once(_placed(items, cells), filled)
 
+def _empty() -> Column:
+    return F.array_repeat(_cell(F.lit(0), F.lit(0).cast("long")), CELLS)
 
-def subtract(left: Column, right: Column) -> Column:
-    return F.zip_with(
-        left,
-        right,
-        lambda a, b: F.struct(
-            (a["n"] - b["n"]).alias("n"),
-            a["key"].bitwiseXOR(b["key"]).alias("key"),
-            a["check"].bitwiseXOR(b["check"]).alias("check"),
-        ),
-    )
 
+def _merged(left: Column, right: Column, sign: int) -> Column:
+    return F.zip_with(left, right, lambda a, b: _cell(a["n"] + sign * b["n"], a["key"].bitwiseXOR(b["key"])))
 
-def peel(difference: Column, cells: int) -> Column:
-    """Digests that differ, as ``(n, key, check)`` with n 1 on the left and -1 on the right.
 
-    Null if peeling gets stuck. Every turn takes out all digests that are alone in some cell.
-    """
-    width = cells // TABLES
+def subtract(left: Column, right: Column) -> Column:
+    return _merged(left, right, -1)
 
-    def alone(state: Column) -> Column:
-        return F.array_distinct(F.filter(state, lambda c: (F.abs(c["n"]) == 1) & (check(c["key"]) == c["check"])))
 
-    def without(state: Column, placed: Column) -> Column:
-        return _tables(
-            lambda t: F.transform(
-                F.slice(state, t * width + 1, width), lambda c, i: _total(c, _at(placed, t, i), -1)
-            )
-        )
+def _dealt(keys: Column, bits: Column) -> Column:
+    """Arrays of the digests by their last ``bits`` bits, in two steps, so that none reads all of them for each array."""
 
-    def step(state: Column, found: Column) -> Column:
-        return F.struct(
-            _once(_placed(found, cells), lambda placed: without(state["cells"], placed)).alias("cells"),
-            F.concat(state["found"], found).alias("found"),
-            (F.size(found) == 0).alias("over"),
-        )
+    def by(keys: Column, bits: Column, behind: Column | int) -> Column:
+        ways = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
+        given = F.struct(keys.alias("keys"), ways.alias("ways"), F.lit(behind).alias("behind"))
+        part = lambda g, w: F.filter(g["keys"], lambda k: _bits(k, g["behind"]).bitwiseAND(g["ways"] - 1) == w)
+        return _once(given, lambda g: F.transform(_range(g["ways"]), lambda w: part(g, w)))
 
-    def turn(state: Column, _: Column) -> Column:
-        return F.when(state["over"], state).otherwise(_once(alone(state["cells"]), lambda found: step(state, found)))
+    split = F.struct(F.floor(bits / 2).cast("int").alias("low"), bits.alias("all"))
+    return _once(split, lambda s: F.flatten(F.transform(by(keys, s["all"] - s["low"], s["low"]), lambda part: by(part, s["low"], 0))))
 
-    start = F.struct(difference.alias("cells"), F.slice(difference, 1, 0).alias("found"), F.lit(False).alias("over"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
-    left_over = lambda s: F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0))
-    return _once(end, lambda s: F.when(~left_over(s), s["found"]))
 
+def sketches(keys: Column, bits: Column) -> Column:
+    """2 to the power of ``bits`` sketches of the digests, each an array of cells."""
+    return F.transform(_dealt(keys, bits), lambda own: _added(_empty(), _signed(own)))
 
-def _too_many(left: Column, right: Column) -> Column:
-    """Whether a sample says that far more digests differ than a sketch gives back."""
-    sample = lambda keys: F.filter(keys, lambda k: F.shiftrightunsigned(k, 64 - SAMPLE_BITS) == 0)
-    differ = _once(
-        F.struct(sample(left).alias("l"), sample(right).alias("r")),
-        lambda s: F.size(F.array_except(s["l"], s["r"])) + F.size(F.array_except(s["r"], s["l"])),
-    )
-    return (F.size(left) + F.size(right) > MANY << SAMPLE_BITS) & (differ >= MANY)
+
+def fingerprint(keys: Column) -> Column:
+    """The sketches of the distinct digests ``keys``, as many as their number asks for."""
+    n = F.size(keys)
+    bits = F.when(n <= OWN, 0).otherwise(F.ceil(F.log2(n / F.lit(float(OWN))))).cast("int")
+    return sketches(keys, bits)
 
 
-def _dealt(part: Column, level: Column) -> Column:
-    """The digests of both sides by the bits of this level, without those that nobody has."""
+def held(prints: Column) -> Column:
+    """Number of digests in a fingerprint."""
+    own = lambda cells: F.aggregate(F.slice(cells, 1, WIDTH), F.lit(0), lambda n, c: n + c["n"])
+    return F.aggregate(prints, F.lit(0), lambda n, cells: n + own(cells))
 
-    def of(keys: Column, way: Column) -> Column:
-        return F.filter(keys, lambda k: F.call_function("shiftrightunsigned", k, level * WAYS_BITS).bitwiseAND(F.lit(WAYS - 1)) == way)
 
-    ways = F.sequence(F.lit(0), F.lit(WAYS - 1))
-    parts = F.transform(ways, lambda w: F.struct(of(part["left"], w).alias("left"), of(part["right"], w).alias("right")))
-    return F.filter(parts, lambda p: F.size(p["left"]) + F.size(p["right"]) > 0)
+def peel(difference: Column) -> Column:
+    """``found``: digests of one sketch or difference, n 1 on the left and -1 on the right; ``left``: how many stay in it, at least.
 
+    Every turn takes out all digests that are alone in some cell.
+    """
 
-def differing(left: Column, right: Column) -> Column:
-    """Digests that only one of two digest arrays has, from their sketches; from more of them on failure."""
+    def alone(cells: Column) -> Column:
+        single = lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["key"].bitwiseAND(F.lit((1 << CHECK_BITS) - 1)))
+        return F.array_distinct(F.filter(cells, lambda c, i: single(c) & (F.getbit(_places(c["key"]), i) == 1)))
 
-    def tried(part: Column) -> Column:
-        found = peel(subtract(sketch(part["left"]), sketch(part["right"])), CELLS)
+    def step(state: Column, found: Column) -> Column:
+        less = F.transform(found, lambda d: _cell(-d["n"], d["key"]))
         return F.struct(
-            part["left"].alias("left"), part["right"].alias("right"),
-            F.when(~_too_many(part["left"], part["right"]), found).alias("found"),
+            F.when(F.size(found) == 0, state["cells"]).otherwise(_added(state["cells"], less)).alias("cells"),
+            F.concat(state["found"], found).alias("found"),
+            (F.size(found) == 0).alias("over"),
         )
 
-    def turn(state: Column, level: Column) -> Column:
-        return _once(
-            F.transform(state["parts"], tried),
-            lambda parts: F.struct(
-                F.flatten(F.transform(F.filter(parts, lambda p: p["found"].isNull()), lambda p: _dealt(p, level))).alias("parts"),
-                F.concat(
-                    state["found"],
-                    F.flatten(F.transform(F.filter(parts, lambda p: p["found"].isNotNull()), lambda p: p["found"])),
-                ).alias("found"),
-            ),
-        )
+    def turn(state: Column, _: Column) -> Column:
+        return F.when(state["over"], state).otherwise(_once(alone(state["cells"]), lambda found: step(state, found)))
 
-    def signed(keys: Column, sign: int) -> Column:
-        return F.transform(keys, lambda k: F.struct(F.lit(sign).alias("n"), k.alias("key"), check(k).alias("check")))
+    def least(c: Column) -> Column:
+        # A cell that is neither empty nor peeled holds two digests or more, an odd number three.
+        some = F.when(F.abs(c["n"]) == 1, 3).when(c["n"] == 0, 2).otherwise(F.abs(c["n"]))
+        return F.when((c["n"] == 0) & (c["key"] == 0), 0).otherwise(some)
 
-    def rest(part: Column) -> Column:
-        # Digests that agree in all dealt bits.
-        return F.concat(
-            signed(F.array_except(part["left"], part["right"]), 1), signed(F.array_except(part["right"], part["left"]), -1)
-        )
+    def left(cells: Column) -> Column:
+        by_table = [F.aggregate(F.slice(cells, t * WIDTH + 1, WIDTH), F.lit(0), lambda n, c: n + least(c)) for t in range(TABLES)]
+        return F.greatest(*by_table)
+
+    none = F.array().cast("array<struct<n: int, key: bigint>>")
+    start = F.struct(difference.alias("cells"), none.alias("found"), F.lit(False).alias("over"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
+    return _once(end, lambda s: F.struct(s["found"].alias("found"), left(s["cells"]).alias("left")))
 
-    start = F.struct(
-        F.array(F.struct(left.alias("left"), right.alias("right"))).alias("parts"), F.slice(signed(left, 1), 1, 0).alias("found")
+
+def _together(peeled: Column) -> Column:
+    """What was peeled from several sketches, as if from one."""
+    joined = lambda parts: F.struct(
+        F.flatten(F.transform(parts, lambda p: p["found"])).alias("found"),
+        F.aggregate(parts, F.lit(0), lambda n, p: n + p["left"]).alias("left"),
     )
-    # Levels after the last that is needed have no parts.
-    end = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, turn)
-    return _once(end, lambda s: F.concat(s["found"], F.flatten(F.transform(s["parts"], rest))))
+    return _once(peeled, joined)
+
+
+def listed(prints: Column) -> Column:
+    """The digests of a fingerprint, read from its cells, as ``peel`` gives them."""
+    return _together(F.transform(prints, peel))
 
 
-def likeness(left: Column, right: Column) -> Column:
-    """Paragraphs shared, of all paragraphs (Jaccard), after ``differing``."""
-    both = F.size(left) + F.size(right)
-    shared = _once(F.size(differing(left, right)), lambda d: (both - d) / (both + d))
-    return F.when(both == 0, F.lit(1.0)).otherwise(shared)
+def differing(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the digests that only one of two fingerprints has (``found``), and how many more (``left``).
 
+    Takes no other columns than the two fingerprints into account; ``_small``, ``_own``, ``_anew`` and ``_parts`` are in use meanwhile.
+    """
+    l, r = F.col(left), F.col(right)
+    whole = lambda prints: F.aggregate(prints, _empty(), lambda sums, cells: _merged(sums, cells, 1))
+    ways = F.greatest(F.size(l), F.size(r))
+    stuck = (F.col("_small.left") > 0) & (ways > 1)
+    dealt_anew = stuck & (F.size(l) != F.size(r))
+    anew = lambda side, other: F.when(F.size(side) < F.size(other), F.col("_anew")).otherwise(side)
+    parts = F.transform(F.zip_with(anew(l, r), anew(r, l), subtract), peel)
+    keys = F.transform(F.col("_own.found"), lambda d: d["key"])
+
+    tried = df.withColumn("_small", peel(subtract(whole(l), whole(r))))
+    read = tried.withColumn("_own", F.when(dealt_anew, listed(F.when(F.size(l) < F.size(r), l).otherwise(r))))
+    placed = read.withColumn("_anew", F.when(dealt_anew, sketches(keys, F.round(F.log2(ways)).cast("int"))))
+    again = placed.withColumn("_parts", F.when(stuck, _together(parts)))
+    lost = F.coalesce(F.col("_own.left"), F.lit(0))
+    larger = F.struct(F.col("_parts.found").alias("found"), (F.col("_parts.left") + lost).alias("left"))
+    return again.withColumn(name, F.when(stuck, larger).otherwise(F.col("_small"))).drop("_small", "_own", "_anew", "_parts")
+
+
+def with_likeness(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
+    """``df`` with ``name``: paragraphs shared, of all paragraphs (Jaccard), of two fingerprints."""
+    both = held(F.col(left)) + held(F.col(right))
+    apart = differing(df, left, right, "_apart").withColumn("_both", both)
+    differ = F.least(F.size("_apart.found") + F.col("_apart.left"), F.col("_both"))
+    counted = apart.withColumn("_differ", differ)
+    shared = (F.col("_both") - F.col("_differ")) / (F.col("_both") + F.col("_differ"))
+    return counted.withColumn(name, F.when(F.col("_both") == 0, F.lit(1.0)).otherwise(shared)).drop("_apart", "_both", "_differ")
+
+
+def as_text(prints: Column) -> Column:
+    """A fingerprint as a string: sketches apart by ``;``, cells by ``,``, an empty cell as nothing."""
+    shown = lambda c: F.when((c["n"] == 0) & (c["key"] == 0), "").otherwise(F.concat_ws(":", c["n"], F.hex(c["key"])))
+    return F.array_join(F.transform(prints, lambda cells: F.array_join(F.transform(cells, shown), ",")), ";")
+
+
+def from_text(text: Column) -> Column:
+    """The fingerprint that ``as_text`` wrote."""
+
+    def cell(shown: Column) -> Column:
+        parts = F.split(shown, ":")
+        return F.when(shown == "", _cell(F.lit(0), F.lit(0).cast("long"))).otherwise(
+            _cell(parts[0], F.conv(parts[1], 16, -10).cast("long"))
+        )
 
-def as_text(keys: Column) -> Column:
-    """A sketch as a string."""
-    shown = F.transform(sketch(keys), lambda c: F.concat_ws(":", c["n"], F.hex(c["key"]), F.hex(c["check"].bitwiseAND(F.lit((1 << 32) - 1)))))
-    return F.array_join(shown, " ")
+    return F.transform(F.split(text, ";"), lambda cells: F.transform(F.split(cells, ","), cell))
 
 
 def neighbours(df: DataFrame) -> DataFrame:
@@ -245,10 +271,13 @@ def neighbours(df: DataFrame) -> DataFrame:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, length, edited text, the digests of the text and of the edited, and those of the next document."""
+    """Id, length, edited text, and the fingerprints of the text, of the edited and of the next document's text."""
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     around = neighbours(rows)
-    # The texts are dealt by id twice alike, so that one exchange serves both uses.
+    # The texts are dealt by id once, as the joins want them, for both uses. The number is given, since
+    # partitions that are small in bytes still have much to compute and are better left apart.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, F.coalesce("id", F.lit(0).cast(rows.schema["id"].dataType)), F.isnull("id"))
     placed = rows.join(around, rows["id"].eqNullSafe(around["id"])).drop(around["id"])
 
     # Not as an equality, which would become a join key and deal the texts by id and hash.
@@ -264,20 +293,26 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     moved = F.floor(n / 4).cast("int")
     joined = rows.join(head, rows["id"].eqNullSafe(head["head_id"])).withColumn("n", F.char_length("text"))
     cut = joined.withColumn("edited", F.concat(F.left("text", n - moved), F.left("head", moved)))
+    of = lambda keys: _once(keys, fingerprint)
     return cut.select(
-        "id", "n", "edited", digests(F.col("text")).alias("digests"), digests(F.col("edited")).alias("edited_digests"), "next_digests"
+        "id", "n", "edited",
+        of(digests(F.col("text"))).alias("prints"),
+        of(digests(F.col("edited"))).alias("edited_prints"),
+        of(F.col("next_digests")).alias("next_prints"),
     )
 
 
 def compared(prints: DataFrame) -> DataFrame:
+    prints = with_likeness(prints, "prints", "edited_prints", "near_edited")
+    prints = with_likeness(prints, "prints", "next_prints", "near_next")
     return prints.select(
         F.col("id").alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("digests")).alias("fingerprint"),
-        as_text(F.col("edited_digests")).alias("edited_fingerprint"),
-        likeness(F.col("digests"), F.col("edited_digests")).alias("near_edited"),
-        likeness(F.col("digests"), F.col("next_digests")).alias("near_next"),
+        as_text(F.col("prints")).alias("fingerprint"),
+        as_text(F.col("edited_prints")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
     )
 
 
