@@ -14,9 +14,8 @@ from its sketches first and dealt anew to as many as the larger one has. Should
 the same cell of every table even then, their number still follows from the cells. All of it is
 DataFrame expressions within a row, whose work grows with the cells.
 
-Paragraphs are lines. Lines above LINE code points are cut at sentence ends, else behind
-commas and the like, else at white space, else behind a few letters, at least PIECE code points
-after the last cut: places that the text itself tells, so that an insertion changes the paragraphs around it and no others. Without
+Paragraphs are lines. Lines above LINE code points are cut at sentence ends, else at white space,
+else behind some of the letters, at least PIECE code points after the last cut: places that the text itself tells, so that an insertion changes the paragraphs around it and no others. Without
 any such place within SEARCH code points, the cut is there. No size follows the text's length.
 
 Defined results: null texts count as empty, empty lines as no paragraphs. A text without
@@ -41,15 +40,14 @@ OWN = 4
 ROUNDS = 16
 CHECK_BITS = 16
 #: Code points: the longest line that stays whole, the least of a piece, and the most.
-LINE, PIECE, SEARCH = 256, 128, 1024
-#: A few letters of most scripts, for lines without white space: rare enough for two cuts out of step to meet again soon.
-LETTERS = "aA0" + "".join(f"\\x{{{c:X}}}\\x{{{c + 1:X}}}" for c in range(0xA1, 0x10000, 128) if not 0xD800 <= c < 0xE000)
+LINE, PIECE, SEARCH = 64, 32, 256
+#: Some letters of every script, for lines without white space.
+LETTERS = "aeiouAEIOU048" + "".join(f"\\x{{{c:X}}}-\\x{{{c + 31:X}}}" for c in range(0xA0, 0x10000, 256) if not 0xD800 <= c < 0xE000)
 _UP_TO = f"[^\\r\\n]{{{PIECE - 1},{SEARCH - 1}}}?"
 PARAGRAPH = "|".join(
     (
         f"[^\\r\\n]{{1,{LINE}}}+(?![^\\r\\n])",
         _UP_TO + "(?:[.!?;\u2026][\"')\\]\u00bb\u201d\u2019]*+[ \\t]++|[\u3002\uff01\uff1f\uff1b])",
-        _UP_TO + "(?:[,;:][\"')\\]\u00bb\u201d\u2019]*+[ \\t]++|[\u3001\uff0c\uff1a])",
         _UP_TO + "[ \\t]++",
         _UP_TO + f"[{LETTERS}]",
         f"[^\\r\\n]{{1,{SEARCH}}}",
