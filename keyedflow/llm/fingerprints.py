@@ -12,7 +12,8 @@ digests in which the texts differ. If that gets stuck, too many differ, and the
 subtracted and peeled one by one; of texts of different size, the smaller one's digests are read
 from its sketches first and dealt anew to as many as the larger one has. Should digests meet in
 the same cell of every table even then, their number still follows from the cells. All of it is
-DataFrame expressions within a row, whose work grows with the cells.
+DataFrame expressions within a row, whose work grows with the cells; a sketch is two plain arrays,
+since a structure for each cell would cost more than what is done with it.
 
 Paragraphs are lines. Lines above LINE code points are cut at sentence ends, else at white space,
 else behind some of the letters, at least PIECE code points after the last cut: places that the text itself tells, so that an insertion changes the paragraphs around it and no others. Without
@@ -37,7 +38,8 @@ TABLES, WIDTH = 4, 6
 CELLS = TABLES * WIDTH
 #: Digests of one text in one sketch, on average at most; the difference of two texts has up to twice as many.
 OWN = 4
-ROUNDS = 16
+#: Turns of peeling, at most, and how many of them are made at a time.
+ROUNDS, TURNS = 16, 4
 CHECK_BITS = 16
 #: Code points: the longest line that stays whole, the least of a piece, and the most.
 LINE, PIECE, SEARCH = 64, 32, 256
@@ -56,8 +58,8 @@ PARAGRAPH = "|".join(
 
 
 def _once(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
-    return F.transform(F.array(value), use)[0]
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it, and not copied."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, use)
 
 
 def _range(n: Column | int) -> Column:
@@ -84,8 +86,8 @@ def _places(key: Column) -> Column:
     """The cells of a digest, one in each table, as the bits of a number; the tables stand one after another."""
 
     def bit(h: Column, t: int) -> Column:
-        at = F.pmod(F.shiftrightunsigned(h, 16 * t), F.lit(WIDTH)).cast("int") + t * WIDTH
-        return F.call_function("shiftleft", F.lit(1).cast("long"), at)
+        at = F.pmod(F.shiftrightunsigned(h, 16 * t), F.lit(WIDTH)).cast("int")
+        return F.call_function("shiftleft", F.lit(1 << t * WIDTH).cast("long"), at)
 
     def bits(h: Column) -> Column:
         return reduce(lambda a, b: a.bitwiseOR(b), [bit(h, t) for t in range(TABLES)])
@@ -93,31 +95,47 @@ def _places(key: Column) -> Column:
     return _once(F.xxhash64(key, F.lit(CELLS)), bits)
 
 
-def _cell(n: Column, key: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), key.alias("key"))
+def _sketch(n: Column, key: Column) -> Column:
+    """The number of digests in every cell, and their XOR."""
+    return F.struct(n.alias("n"), key.alias("key"))
 
 
-def _signed(keys: Column, sign: int = 1) -> Column:
-    return F.transform(keys, lambda k: _cell(F.lit(sign), k))
+def _placed(n: Column, key: Column) -> Column:
+    """A signed digest with its cells."""
+    return F.struct(n.alias("n"), key.alias("key"), _places(key).alias("at"))
 
 
-def _added(cells: Column, items: Column) -> Column:
-    """The cells with signed digests ``(n, key)`` added."""
-    placed = F.transform(items, lambda d: F.struct(d["n"].alias("n"), d["key"].alias("key"), _places(d["key"]).alias("at")))
+def _if(condition: Column, one: Column | int, other: Column | int) -> Column:
+    return F.call_function("if", condition, *[F.lit(x) if isinstance(x, int) else x for x in (one, other)])
 
-    def cell(start: Column, i: Column, items: Column) -> Column:
-        add = lambda c, d: F.struct((c["n"] + d["n"]).alias("n"), c["key"].bitwiseXOR(d["key"]).alias("key"))
-        return F.aggregate(items, start, lambda c, d: F.when(F.getbit(d["at"], i) == 1, add(c, d)).otherwise(c))
 
-    return _once(placed, lambda items: F.transform(cells, lambda c, i: cell(c, i, items)))
+def _cell_bits() -> Column:
+    """The bit of each cell, as ``_places`` has them."""
+    return F.array(*[F.lit(1 << i).cast("long") for i in range(CELLS)])
+
+
+def _added(sketch: Column, items: Column, sign: int = 1) -> Column:
+    """The sketch with signed digests ``(n, key, at)`` added, or taken out; cells that none goes to are left alone."""
+
+    def each(values: Column, given: Column, add) -> Column:
+        own = lambda v, bit: F.aggregate(given["items"], v, lambda a, d: _if(d["at"].bitwiseAND(bit) == 0, a, add(a, d)))
+        return F.zip_with(values, _cell_bits(), lambda v, bit: _if(given["met"].bitwiseAND(bit) == 0, v, own(v, bit)))
+
+    def changed(given: Column) -> Column:
+        n = each(sketch["n"], given, lambda a, d: a + d["n"] if sign > 0 else a - d["n"])
+        return _sketch(n, each(sketch["key"], given, lambda a, d: a.bitwiseXOR(d["key"])))
+
+    met = lambda items: F.aggregate(items, F.lit(0).cast("long"), lambda m, d: m.bitwiseOR(d["at"]))
+    return _once(items, lambda items: _once(F.struct(items.alias("items"), met(items).alias("met")), changed))
 
 
 def _empty() -> Column:
-    return F.array_repeat(_cell(F.lit(0), F.lit(0).cast("long")), CELLS)
+    return _sketch(F.array_repeat(F.lit(0), CELLS), F.array_repeat(F.lit(0).cast("long"), CELLS))
 
 
 def _merged(left: Column, right: Column, sign: int) -> Column:
-    return F.zip_with(left, right, lambda a, b: _cell(a["n"] + sign * b["n"], a["key"].bitwiseXOR(b["key"])))
+    n = F.zip_with(left["n"], right["n"], lambda a, b: a + b if sign > 0 else a - b)
+    return _sketch(n, F.zip_with(left["key"], right["key"], lambda a, b: a.bitwiseXOR(b)))
 
 
 def subtract(left: Column, right: Column) -> Column:
@@ -125,21 +143,30 @@ def subtract(left: Column, right: Column) -> Column:
 
 
 def _dealt(keys: Column, bits: Column) -> Column:
-    """Arrays of the digests by their last ``bits`` bits, in two steps, so that none reads all of them for each array."""
+    """Arrays of the digests, placed, by their last ``bits`` bits, in two steps, so that none reads all of them for each array."""
+
+    def by(items: Column, ways: Column, field: str) -> Column:
+        part = lambda items, w: F.filter(items, lambda d: d[field] == w)
+        given = F.struct(items.alias("items"), ways.alias("ways"))
+        return _once(given, lambda g: F.transform(_range(g["ways"]), lambda w: part(g["items"], w)))
+
+    def split(s: Column) -> Column:
+        def item(k: Column) -> Column:
+            low = _bits(k, 0).bitwiseAND(s["low_ways"] - 1).cast("int")
+            high = _bits(k, s["low"]).bitwiseAND(s["high_ways"] - 1).cast("int")
+            return F.struct(F.lit(1).alias("n"), k.alias("key"), _places(k).alias("at"), high.alias("high"), low.alias("low"))
 
-    def by(keys: Column, bits: Column, behind: Column | int) -> Column:
-        ways = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
-        given = F.struct(keys.alias("keys"), ways.alias("ways"), F.lit(behind).alias("behind"))
-        part = lambda g, w: F.filter(g["keys"], lambda k: _bits(k, g["behind"]).bitwiseAND(g["ways"] - 1) == w)
-        return _once(given, lambda g: F.transform(_range(g["ways"]), lambda w: part(g, w)))
+        parts = by(F.transform(keys, item), s["high_ways"], "high")
+        return F.flatten(F.transform(parts, lambda part: by(part, s["low_ways"], "low")))
 
-    split = F.struct(F.floor(bits / 2).cast("int").alias("low"), bits.alias("all"))
-    return _once(split, lambda s: F.flatten(F.transform(by(keys, s["all"] - s["low"], s["low"]), lambda part: by(part, s["low"], 0))))
+    ways = lambda n: F.call_function("shiftleft", F.lit(1), n)
+    low = F.floor(bits / 2).cast("int")
+    return _once(F.struct(low.alias("low"), ways(low).alias("low_ways"), ways(bits.cast("int") - low).alias("high_ways")), split)
 
 
 def sketches(keys: Column, bits: Column) -> Column:
-    """2 to the power of ``bits`` sketches of the digests, each an array of cells."""
-    return F.transform(_dealt(keys, bits), lambda own: _added(_empty(), _signed(own)))
+    """2 to the power of ``bits`` sketches of the digests."""
+    return F.transform(_dealt(keys, bits), lambda own: _added(_empty(), own))
 
 
 def fingerprint(keys: Column) -> Column:
@@ -151,7 +178,7 @@ def fingerprint(keys: Column) -> Column:
 
 def held(prints: Column) -> Column:
     """Number of digests in a fingerprint."""
-    own = lambda cells: F.aggregate(F.slice(cells, 1, WIDTH), F.lit(0), lambda n, c: n + c["n"])
+    own = lambda cells: F.aggregate(F.slice(cells["n"], 1, WIDTH), F.lit(0), lambda n, c: n + c)
     return F.aggregate(prints, F.lit(0), lambda n, cells: n + own(cells))
 
 
@@ -161,33 +188,56 @@ def peel(difference: Column) -> Column:
     Every turn takes out all digests that are alone in some cell.
     """
 
-    def alone(cells: Column) -> Column:
-        single = lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["key"].bitwiseAND(F.lit((1 << CHECK_BITS) - 1)))
-        return F.array_distinct(F.filter(cells, lambda c, i: single(c) & (F.getbit(_places(c["key"]), i) == 1)))
+    low = F.lit((1 << CHECK_BITS) - 1)
+
+    def alone(sketch: Column) -> Column:
+        single = lambda n, k: (F.abs(n) == 1) & (_check(k) == k.bitwiseAND(low))
+
+        def items(g: Column) -> Column:
+            keys = F.filter(F.array_distinct(g["keys"]), lambda k: k.isNotNull())
+            at = lambda k: F.array_position(g["keys"], k).cast("int") - 1
+            placed = F.transform(keys, lambda k: _placed(g["n"][at(k)], k))
+            return F.filter(placed, lambda d: d["at"].bitwiseAND(_cell_bits()[at(d["key"])]) != 0)
+
+        keys = F.zip_with(sketch["n"], sketch["key"], lambda n, k: _if(single(n, k), k, F.lit(None).cast("long")))
+        return _once(F.struct(sketch["n"].alias("n"), keys.alias("keys")), items)
 
     def step(state: Column, found: Column) -> Column:
-        less = F.transform(found, lambda d: _cell(-d["n"], d["key"]))
-        return F.struct(
-            F.when(F.size(found) == 0, state["cells"]).otherwise(_added(state["cells"], less)).alias("cells"),
-            F.concat(state["found"], found).alias("found"),
-            (F.size(found) == 0).alias("over"),
-        )
+        next_ = lambda cells, found, over: F.struct(cells.alias("cells"), found.alias("found"), F.lit(over).alias("over"))
+        less = next_(_added(state["cells"], found, -1), F.concat(state["found"], found), False)
+        over = _if(F.size(found) == 0, next_(state["cells"], state["found"], True), less)
+        nothing = _sketch(F.array().cast("array<int>"), F.array().cast("array<bigint>"))
+        return _if(all_of(state["cells"], found), next_(nothing, F.concat(state["found"], found), True), over)
+
+    def all_of(cells: Column, found: Column) -> Column:
+        """Whether these are the digests of a whole sketch: then they have the number and the XOR of all that is in one table."""
+        total = lambda values, zero: F.aggregate(F.slice(values, 1, WIDTH), zero, lambda a, v: a + v)
+        mixed = lambda values, zero: F.aggregate(F.slice(values, 1, WIDTH), zero, lambda a, v: a.bitwiseXOR(v))
+        n = F.aggregate(found, total(cells["n"], F.lit(0)), lambda a, d: a - d["n"])
+        key = F.aggregate(found, mixed(cells["key"], F.lit(0).cast("long")), lambda a, d: a.bitwiseXOR(d["key"]))
+        return (n == 0) & (key == 0)
 
     def turn(state: Column, _: Column) -> Column:
-        return F.when(state["over"], state).otherwise(_once(alone(state["cells"]), lambda found: step(state, found)))
+        return _if(state["over"], state, _once(alone(state["cells"]), lambda found: step(state, found)))
+
+    def turns(state: Column, _: Column) -> Column:
+        # Some at a time, as every turn, even one that does nothing, copies the cells.
+        return _if(state["over"], state, F.aggregate(_range(TURNS), state, turn))
 
-    def least(c: Column) -> Column:
+    def least(n: Column, key: Column) -> Column:
         # A cell that is neither empty nor peeled holds two digests or more, an odd number three.
-        some = F.when(F.abs(c["n"]) == 1, 3).when(c["n"] == 0, 2).otherwise(F.abs(c["n"]))
-        return F.when((c["n"] == 0) & (c["key"] == 0), 0).otherwise(some)
+        some = _if(F.abs(n) == 1, 3, _if(n == 0, 2, F.abs(n)))
+        return _if((n == 0) & (key == 0), 0, some)
 
     def left(cells: Column) -> Column:
-        by_table = [F.aggregate(F.slice(cells, t * WIDTH + 1, WIDTH), F.lit(0), lambda n, c: n + least(c)) for t in range(TABLES)]
-        return F.greatest(*by_table)
+        least_of = F.zip_with(cells["n"], cells["key"], least)
+        by_table = lambda each: [F.aggregate(F.slice(each, t * WIDTH + 1, WIDTH), F.lit(0), lambda n, c: n + c) for t in range(TABLES)]
+        empty = ~F.exists(cells["n"], lambda n: n != 0) & ~F.exists(cells["key"], lambda k: k != 0)
+        return _if(empty, 0, _once(least_of, lambda each: F.greatest(*by_table(each))))
 
-    none = F.array().cast("array<struct<n: int, key: bigint>>")
+    none = F.array().cast("array<struct<n: int, key: bigint, at: bigint>>")
     start = F.struct(difference.alias("cells"), none.alias("found"), F.lit(False).alias("over"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
+    end = F.aggregate(_range(ROUNDS // TURNS), start, turns)
     return _once(end, lambda s: F.struct(s["found"].alias("found"), left(s["cells"]).alias("left")))
 
 
@@ -213,19 +263,25 @@ def differing(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
     l, r = F.col(left), F.col(right)
     whole = lambda prints: F.aggregate(prints, _empty(), lambda sums, cells: _merged(sums, cells, 1))
     ways = F.greatest(F.size(l), F.size(r))
-    stuck = (F.col("_small.left") > 0) & (ways > 1)
+    # Every digest that is peeled leaves a cell empty for good.
+    too_many = (F.abs(held(l) - held(r)) > CELLS) & (ways > 1)
+    stuck = F.col("_small").isNull() | ((F.col("_small.left") > 0) & (ways > 1))
     dealt_anew = stuck & (F.size(l) != F.size(r))
-    anew = lambda side, other: F.when(F.size(side) < F.size(other), F.col("_anew")).otherwise(side)
-    parts = F.transform(F.zip_with(anew(l, r), anew(r, l), subtract), peel)
-    keys = F.transform(F.col("_own.found"), lambda d: d["key"])
+    smaller, larger = _if(F.size(l) < F.size(r), l, r), _if(F.size(l) < F.size(r), r, l)
+    turned = lambda parts: F.transform(parts, lambda d: F.struct((-d["n"]).alias("n"), d["key"].alias("key"), d["at"].alias("at")))
 
-    tried = df.withColumn("_small", peel(subtract(whole(l), whole(r))))
-    read = tried.withColumn("_own", F.when(dealt_anew, listed(F.when(F.size(l) < F.size(r), l).otherwise(r))))
-    placed = read.withColumn("_anew", F.when(dealt_anew, sketches(keys, F.round(F.log2(ways)).cast("int"))))
-    again = placed.withColumn("_parts", F.when(stuck, _together(parts)))
-    lost = F.coalesce(F.col("_own.left"), F.lit(0))
-    larger = F.struct(F.col("_parts.found").alias("found"), (F.col("_parts.left") + lost).alias("left"))
-    return again.withColumn(name, F.when(stuck, larger).otherwise(F.col("_small"))).drop("_small", "_own", "_anew", "_parts")
+    tried = df.withColumn("_small", F.when(~too_many, peel(subtract(whole(l), whole(r)))))
+    read = tried.withColumn("_own", F.when(dealt_anew, listed(smaller)))
+    keys = F.transform(F.col("_own.found"), lambda d: d["key"])
+    less = F.zip_with(larger, _dealt(keys, F.round(F.log2(ways)).cast("int")), lambda cells, own: peel(_added(cells, own, -1)))
+    placed = read.withColumn("_anew", F.when(dealt_anew, _together(less)))
+    again = placed.withColumn("_parts", F.when(stuck & ~dealt_anew, _together(F.transform(F.zip_with(l, r, subtract), peel))))
+    anew = F.struct(
+        _if(F.size(l) < F.size(r), turned(F.col("_anew.found")), F.col("_anew.found")).alias("found"),
+        (F.col("_anew.left") + F.col("_own.left")).alias("left"),
+    )
+    out = F.when(dealt_anew, anew).when(stuck, F.col("_parts")).otherwise(F.col("_small"))
+    return again.withColumn(name, out).drop("_small", "_own", "_anew", "_parts")
 
 
 def with_likeness(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
@@ -240,20 +296,19 @@ def with_likeness(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
 
 def as_text(prints: Column) -> Column:
     """A fingerprint as a string: sketches apart by ``;``, cells by ``,``, an empty cell as nothing."""
-    shown = lambda c: F.when((c["n"] == 0) & (c["key"] == 0), "").otherwise(F.concat_ws(":", c["n"], F.hex(c["key"])))
-    return F.array_join(F.transform(prints, lambda cells: F.array_join(F.transform(cells, shown), ",")), ";")
+    shown = lambda n, k: _if((n == 0) & (k == 0), F.lit(""), F.concat_ws(":", n, F.hex(k)))
+    return F.array_join(F.transform(prints, lambda cells: F.array_join(F.zip_with(cells["n"], cells["key"], shown), ",")), ";")
 
 
 def from_text(text: Column) -> Column:
     """The fingerprint that ``as_text`` wrote."""
 
-    def cell(shown: Column) -> Column:
-        parts = F.split(shown, ":")
-        return F.when(shown == "", _cell(F.lit(0), F.lit(0).cast("long"))).otherwise(
-            _cell(parts[0], F.conv(parts[1], 16, -10).cast("long"))
-        )
+    def sketch(cells: Column) -> Column:
+        n = F.transform(cells, lambda c: F.when(c == "", 0).otherwise(F.split(c, ":")[0].cast("int")))
+        key = F.transform(cells, lambda c: F.when(c == "", F.lit(0).cast("long")).otherwise(F.conv(F.split(c, ":")[1], 16, -10).cast("long")))
+        return _sketch(n, key)
 
-    return F.transform(F.split(text, ";"), lambda cells: F.transform(F.split(cells, ","), cell))
+    return F.transform(F.split(text, ";"), lambda cells: _once(F.split(cells, ","), sketch))
 
 
 def neighbours(df: DataFrame) -> DataFrame:
@@ -275,7 +330,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The texts are dealt by id once, as the joins want them, for both uses. The number is given, since
     # partitions that are small in bytes still have much to compute and are better left apart.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, F.coalesce("id", F.lit(0).cast(rows.schema["id"].dataType)), F.isnull("id"))
+    rows = rows.withColumn("digests", digests(F.col("text"))).repartition(parts, F.coalesce("id", F.lit(0).cast(rows.schema["id"].dataType)), F.isnull("id"))
     placed = rows.join(around, rows["id"].eqNullSafe(around["id"])).drop(around["id"])
 
     # Not as an equality, which would become a join key and deal the texts by id and hash.
@@ -283,7 +338,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     head = placed.where(stands).select(
         F.col("prev_id").alias("head_id"),
         F.left("text", F.floor(F.col("prev_n") / 4).cast("int")).alias("head"),
-        digests(F.col("text")).alias("next_digests"),
+        F.col("digests").alias("next_digests"),
     )
     if around.agg(F.max("rows")).first()[0] not in (None, 1):
         head = head.dropDuplicates(["head_id"])
@@ -294,7 +349,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of = lambda keys: _once(keys, fingerprint)
     return cut.select(
         "id", "n", "edited",
-        of(digests(F.col("text"))).alias("prints"),
+        of(F.col("digests")).alias("prints"),
         of(digests(F.col("edited"))).alias("edited_prints"),
         of(F.col("next_digests")).alias("next_prints"),
     )
