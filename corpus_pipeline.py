@@ -17,8 +17,17 @@ from keyedflow.llm.packing import pack, pieces
 from keyedflow.llm.toxicity import keep_clean, train
 
 
+#: Rows that go to a Python worker at a time. Whole texts are many bytes, and both sides hold a batch.
+BATCH_ROWS = 1000
+
+
+def _by_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, trained on the labels of these documents, doesn't reject."""
+    _by_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return keep_clean(docs, train(docs.select("doc_id", "text"), labels))
 
@@ -30,6 +39,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
+    _by_batches(spark)
     return without_near_copies(docs)
 
 
@@ -40,6 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
+    _by_batches(spark)
     return pack(store(pieces(docs)))
 
 

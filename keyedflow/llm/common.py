@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,22 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(name: object, make: Callable[[], object]) -> object:
+    """What ``make()`` gives, kept by a Python worker from task to task until one asks for another name, or calls ``let_go``."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go() -> None:
+    """For the start of a task: workers outlive their stage, and with them what an earlier one kept."""
+    _kept.clear()
+
+
 def table(spark, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 

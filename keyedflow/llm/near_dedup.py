@@ -22,7 +22,7 @@ component has no other. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyedflow.llm.common import store, table, text_of
+from keyedflow.llm.common import let_go, store, table, text_of
 from keyedflow.llm.components import components
 
 #: Words of a shingle: of op9, and of near-duplicate stages.
@@ -60,7 +60,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+def _chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     own, size = [], 0
     for text in texts:
         own.append(text)
@@ -80,19 +80,26 @@ def _word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     if not len(starts):
         return [np.zeros(0, np.uint64) for _ in texts]
-    nth = np.arange(len(data)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(data)]))))
+    # In place, as each of these is many times as large as the texts.
+    nth = np.arange(len(data))
+    nth -= np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(data)]))))
     powers = np.full(int(nth.max()) + 1, _ODD[0])
     powers[0] = 1
-    values = (data.astype(np.uint64) + np.uint64(1)) * np.cumprod(powers)[nth]
+    values = np.cumprod(powers)[nth]
+    del nth
+    scaled = data.astype(np.uint64)
+    scaled += np.uint64(1)
+    values *= scaled
+    del scaled
     values[space] = 0
     hashes = _mix(np.add.reduceat(values, starts))
     at = np.searchsorted(starts, bounds)
     return [hashes[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str], width: int) -> Iterator[np.ndarray]:
     """The sorted hashes of every text's distinct shingles."""
-    for own in _chunks([t.encode("utf-8", "surrogatepass").lower() for t in texts]):
+    for own in _chunks(t.encode("utf-8", "surrogatepass").lower() for t in texts):
         for words in _word_hashes(own):
             n = len(words)
             if n == 0:
@@ -140,9 +147,10 @@ def sketches(df: DataFrame, width: int) -> DataFrame:
     types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             rows = []
-            for s in shingle_sets(batch["text"].to_pylist(), width):
+            for s in shingle_sets((t.as_py() for t in batch["text"]), width):
                 if len(s):
                     made = sketch(s)
                     bits = (_mix(made) & np.uint64(255)).astype(np.uint8).tobytes()

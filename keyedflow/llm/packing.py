@@ -9,7 +9,7 @@ still fits, at most two in a sequence. Smaller pieces follow from long to short,
 smallest gap that holds it, or into a new sequence where there is none.
 
 Token ids are made a word at a time: a text is cut before spaces where the tokenizer's pattern
-can't join across, and the ids of a word are kept while a worker lives. Texts in which spaces
+can't join across, and the ids of a word are kept while a worker has such tasks. Texts in which spaces
 stand inside other white space, or that hold one of the vocabulary's added tokens, such as the mark
 of a text's end, are encoded as one; an added token is its own id, as in the tokenizer itself.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyedflow.llm.common import in_order, store, table, text_of
+from keyedflow.llm.common import in_order, kept, store, table, text_of
 
 CAPACITY = 2048
 END = 0
@@ -145,9 +145,6 @@ class _Words(dict):
         return self.ids(first) + b"".join(map(self.__getitem__, words))
 
 
-_words: dict[str, _Words] = {}
-
-
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     """``(start, length)`` of the pieces; only the first may be shorter than the capacity."""
     first = length % capacity or capacity
@@ -163,9 +160,7 @@ def pieces(df: DataFrame, capacity: int = CAPACITY, ranks: str = RANKS, keep_ids
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words.get(ranks)
-        if words is None:
-            words = _words[ranks] = _Words(ranks)
+        words = kept(("words", ranks), lambda: _Words(ranks))
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []

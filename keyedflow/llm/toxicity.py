@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyedflow.llm.common import store, table, text_of
+from keyedflow.llm.common import let_go, store, table, text_of
 
 TRAIN_ROWS, FACTORS, BUCKETS, RARE = 16_000, 8, 1 << 21, 4
 #: Passes over the sample (more over few rows), rows at a time, step, and the size of the first factors.
@@ -89,6 +89,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known = _Terms()
         for batch in batches:
             found = [known.of(text) for text in batch["text"].to_pylist()]
@@ -170,7 +171,7 @@ class Model:
         return float(self.bias + self.w[present].sum() + pairs)
 
     def scores(self, texts: pa.Array, known: _Terms) -> np.ndarray:
-        raw = np.array([self.raw(known.of(text or "")) for text in texts.to_pylist()], float)
+        raw = np.array([self.raw(known.of(text.as_py() or "")) for text in texts], float)
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
     def fit(self, toxic: np.ndarray, sizes: np.ndarray, present: np.ndarray) -> None:
@@ -265,6 +266,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known = model.known()
         for batch in batches:
             scores = model.scores(batch["text"], known)
@@ -281,6 +283,7 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known = model.known()
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at), known) < threshold))

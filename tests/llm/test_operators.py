@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import connect, difference
-from keyedflow.llm import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, sharding, toxicity, url_rules, warc
+from keyedflow.llm import common, exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, sharding, toxicity, url_rules, warc
 from keyedflow.llm.queries import LLM_ORACLE, LLM_QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -527,6 +527,19 @@ def test_near_stage_takes_five_words(spark):
     assert corpus_pipeline.near(spark, rows, "").count() == 2
 
 
+def test_a_worker_keeps_the_things_of_one_operator(spark):
+    first = common.kept("a", object)
+    assert common.kept("a", object) is first
+    common.kept("b", object)
+    assert common.kept("a", object) is not first
+    common.let_go()
+    assert not common._kept
+    # Stages that give whole texts to Python do so in small batches.
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    corpus_pipeline.near(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(corpus_pipeline.BATCH_ROWS) == "1000"
+
+
 def test_sketch_estimates_likeness():
     rnd = np.random.default_rng(1)
     for n, shared in [(1, 1), (2, 1), (40, 32), (3000, 2400)]:
